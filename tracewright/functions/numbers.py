@@ -42,3 +42,8 @@ def hex_number(key: Column, start: int, digits: int) -> Column:
 def draw_unit(key: Column, start: int = 1) -> Column:
     """A number in [0, 1) from eight digits of a hex key."""
     return hex_number(key, start, 8) / F.lit(float(16**8))
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounding the exact binary value like printf does."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits))

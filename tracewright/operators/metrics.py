@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracewright.functions.numbers import safe_ratio
+from tracewright.functions.numbers import fixed, safe_ratio
 from tracewright.operators.ranking import running_totals
 from tracewright.session import settle
 
@@ -230,7 +230,7 @@ def metrics_summary(metrics: DataFrame, names: list[str]) -> DataFrame:
     """One row per embedding type, four decimals as text; missing metrics are 0."""
     wide = metrics.groupBy("embedding_type").pivot("metric", names).agg(F.first("value"))
     return wide.select("embedding_type", *[
-        F.format_string("%.4f", F.coalesce(F.col(n), F.lit(0.0))).alias(n) for n in names])
+        fixed(F.coalesce(F.col(n), F.lit(0.0)), 4).alias(n) for n in names])
 
 
 def compare_methods(metrics: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracewright.functions.numbers import fixed
 from tracewright.operators.counts import top_per_key
 
 # Leading columns of the evaluation matrix and of the dashboard.
@@ -34,7 +35,7 @@ def numbered_text(rows: DataFrame, first: int, *order: Column) -> DataFrame:
 def markdown_matrix(results: DataFrame, title: str) -> DataFrame:
     matrix = evaluation_matrix(results)
     names = matrix.columns
-    cells = [F.col("embedding_type")] + [F.format_string("%.4f", F.col(c).cast("double")) for c in names[1:]]
+    cells = [F.col("embedding_type")] + [fixed(F.col(c), 4) for c in names[1:]]
     body = numbered_text(matrix.withColumn("text", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))), 5,
                          F.desc("micro_f1"), F.desc("macro_f1"), F.col("embedding_type"))
     head = [(1, f"# Evaluation Matrix for {title} Anomaly Detection"), (2, ""),
@@ -80,7 +81,7 @@ def evaluation_report(metrics: DataFrame, title: str) -> DataFrame:
     joined = frame.join(present, "section", "left_semi").join(
         metrics.select("section", "metric", "value"), ["section", "metric"], "left")
     text = F.when(F.col("metric").isNull(), F.col("lead")).otherwise(
-        F.concat("lead", F.format_string("%.4f", F.coalesce("value", F.lit(0.0)))))
+        F.concat("lead", fixed(F.coalesce("value", F.lit(0.0)), 4)))
     body = joined.select("line_no", text.alias("text"))
     ends = metrics.sparkSession.createDataFrame(
         [(1, "=" * 60), (2, f"EVALUATION REPORT: {title}"), (3, "=" * 60), (100_000, "=" * 60)],
@@ -93,15 +94,15 @@ def oversampling_report(overall: DataFrame, per_class: DataFrame, variants: Data
     spark = overall.sparkSession
     items = [("Total samples", F.col("total_samples").cast("string")), ("Normal samples", F.col("normal_samples").cast("string")),
              ("Attack samples", F.col("attack_samples").cast("string")),
-             ("Imbalance ratio", F.format_string("%.2f", "imbalance_ratio"))]
+             ("Imbalance ratio", fixed(F.col("imbalance_ratio"), 2))]
     stats = overall.select(F.inline(F.array(*[
         F.struct(F.lit(10 + i).cast("bigint").alias("line_no"), F.concat(F.lit(f"- {name}: "), value).alias("text"))
         for i, (name, value) in enumerate(items)])))
-    line = F.format_string("- **%s**: %d samples (prevalence: %.3f, ratio: %.2f)", "class", "positive", "prevalence",
-                           "imbalance_ratio")
+    line = F.format_string("- **%s**: %d samples (prevalence: %s, ratio: %s)", "class", "positive",
+                           fixed(F.col("prevalence"), 3), fixed(F.col("imbalance_ratio"), 2))
     classes = numbered_text(per_class.withColumn("text", line), 1001, F.col("class")).select("line_no", "text")
-    done = F.format_string("- **%s**: sample increase %.2fx, imbalance improvement %.2fx", F.upper("variant"),
-                           "sample_increase", "improvement_factor")
+    done = F.format_string("- **%s**: sample increase %sx, imbalance improvement %sx", F.upper("variant"),
+                           fixed(F.col("sample_increase"), 2), fixed(F.col("improvement_factor"), 2))
     made = numbered_text(variants.withColumn("text", done), 1_000_001, F.col("variant")).select("line_no", "text")
     heads = spark.createDataFrame([(1, f"# SMOTE Oversampling Report for {title.upper()}"), (2, "### Original Data Statistics"),
                                    (1000, "### Per-Class Distribution"), (1_000_000, "### SMOTE Variant Results")],
