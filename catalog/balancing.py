@@ -48,17 +48,29 @@ OTHERS = """oth AS (SELECT n.query_id AS row_id, n.mine AS label, count(*) FILTE
   FROM near n JOIN need ON need.label = n.mine GROUP BY 1, 2)"""
 
 
-@query("b02_borderline_smote", f"""WITH {NEAR}, {COUNTS}, {SAME}, {OTHERS},
-  seeds AS (SELECT v.* FROM vec v JOIN oth USING (row_id) WHERE o10 >= 5 AND o10 < 10), {EVEN}, {MADE} {SHOW}""")
+RARE = "CASE WHEN label < 8 THEN 0 ELSE label END AS label"
+
+
+def _rare(sql):
+    """The same SQL over labels 0 to 7 taken as one large class."""
+    return sql.replace("label FROM embeddings", f"{RARE} FROM embeddings")
+
+
+def _rare_vectors(spark, sf):
+    return vectors(spark, sf).withColumn("label", F.when(F.col("label") < 8, 0).otherwise(F.col("label")))
+
+
+@query("b02_borderline_smote", _rare(f"""WITH {NEAR}, {COUNTS}, {SAME}, {OTHERS},
+  seeds AS (SELECT v.* FROM vec v JOIN oth USING (row_id) WHERE o10 >= 5 AND o10 < 10), {EVEN}, {MADE} {SHOW}"""))
 def borderline_smote(spark, sf):
-    return _shown(bl.borderline_smote(vectors(spark, sf)))
+    return _shown(bl.borderline_smote(_rare_vectors(spark, sf)))
 
 
-@query("b03_adasyn", f"""WITH {NEAR}, {COUNTS}, {SAME}, {OTHERS}, tot AS (SELECT label, sum(o5) AS t FROM oth GROUP BY 1),
+@query("b03_adasyn", _rare(f"""WITH {NEAR}, {COUNTS}, {SAME}, {OTHERS}, tot AS (SELECT label, sum(o5) AS t FROM oth GROUP BY 1),
   share AS (SELECT v.*, CAST(round_even(o5 * need / t::DOUBLE, 0) AS BIGINT) AS copies FROM vec v JOIN oth USING (row_id) JOIN tot ON tot.label = v.label JOIN need ON need.label = v.label),
-  {MADE} {SHOW}""")
+  {MADE} {SHOW}"""))
 def adasyn(spark, sf):
-    return _shown(bl.adasyn(vectors(spark, sf)))
+    return _shown(bl.adasyn(_rare_vectors(spark, sf)))
 
 
 @query("b04_svm_smote")

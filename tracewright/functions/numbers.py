@@ -35,8 +35,8 @@ def draw_key(seed: int, *ids: Column) -> Column:
 
 
 def hex_number(key: Column, start: int, digits: int) -> Column:
-    """Digits [start, start+digits) of a hex key as a whole number."""
-    return F.conv(F.substring(key, start, digits), 16, 10).cast("bigint")
+    """Digits [start, start+digits) of a hex key as a whole number; never null, so usable as a join key as is."""
+    return F.coalesce(F.conv(F.substring(key, start, digits), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def draw_unit(key: Column, start: int = 1) -> Column:

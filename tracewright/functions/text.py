@@ -107,12 +107,13 @@ def tokens(text: Column) -> Column:
 def char_ngrams(token: Column, n_min: int = 3, n_max: int = 6) -> Column:
     """Character n-grams of the token between boundary marks."""
     marked = F.concat(F.lit("<"), token, F.lit(">"))
-    grams = []
-    for n in range(n_min, n_max + 1):
+
+    def of_length(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
-        cut = F.transform(starts, lambda i, n=n: F.substring(marked, i, F.lit(n)))
-        grams.append(F.filter(cut, lambda g, n=n: F.length(g) == n))
-    return F.concat(*grams)
+        cut = F.transform(starts, lambda i: F.substring(marked, i, F.lit(n)))
+        return F.filter(cut, lambda g: F.length(g) == n)
+
+    return F.concat(*[of_length(n) for n in range(n_min, n_max + 1)])
 
 
 def word_set(text: Column) -> Column:

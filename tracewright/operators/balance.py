@@ -156,8 +156,8 @@ def svm_smote(rows: DataFrame, k: int = 5, share: float = 0.5, row_id: str = "ro
     index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)) - 1
     data = points.withColumn("f_", array_to_vector("vec")).withColumn("y_", index.cast("double"))
     model = OneVsRest(classifier=LinearSVC(maxIter=20, featuresCol="f_", labelCol="y_"), featuresCol="f_",
-                      labelCol="y_", rawPredictionCol="r_", predictionCol="p_").fit(data)
-    margin = F.abs(F.get(vector_to_array("r_"), F.col("y_").cast("int")))
+                      labelCol="y_", predictionCol="p_").fit(data)
+    margin = F.abs(F.get(vector_to_array("rawPrediction"), F.col("y_").cast("int")))
     scored = model.transform(data).select("row_id", "vec", label, margin.alias("margin"))
     scored = settle(scored.join(need.select(label), label, "left_semi"), "margin")
     cuts = scored.groupBy(label).agg(F.percentile_approx("margin", share, 10_000).alias("cut"))
@@ -275,7 +275,13 @@ def balance(rows: DataFrame, variant: str = "smote", row_id: str = "row_id", vec
         return CLEANED_VARIANTS[variant](rows, seed=seed, **columns)
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant}")
-    return with_synthetic(rows, VARIANTS[variant](rows, seed=seed, **columns), **columns)
+    made = settle(VARIANTS[variant](rows, seed=seed, **columns), "made")
+    if not made.take(1):
+        # A variant that cannot place any row gives way to plain repetition.
+        copies = random_oversample(rows, row_id, label, seed=seed)
+        points = _points(rows, row_id, vector, label)
+        made = copies.join(points.select("row_id", "vec"), "row_id").withColumnRenamed("row_id", "seed_id")
+    return with_synthetic(rows, made, **columns)
 
 
 def balance_groups(rows: DataFrame, groups: DataFrame, classes: str = "classes", bits: str = "label_vector",

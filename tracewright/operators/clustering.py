@@ -34,8 +34,12 @@ def kmeans(rows: DataFrame, vector: str, k: int, out: str = "cluster", seed: int
 
 
 def bisecting(rows: DataFrame, vector: str, k: int, out: str = "cluster", seed: int = 42) -> DataFrame:
-    """Hierarchical clusters by repeated splitting."""
-    data = _features(rows, vector)
+    """Hierarchical clusters by repeated splitting.
+
+    Splits start from a nudge relative to the centre, so centred data is moved
+    away from the origin first; distances stay the same.
+    """
+    data = rows.withColumn("features_", array_to_vector(F.transform(vc.as_doubles(F.col(vector)), lambda x: x + 10.0)))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="features_", predictionCol=out).fit(data)
     return model.transform(data).drop("features_")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tracewright.functions import labels as lb
 from tracewright.functions.numbers import percentage, ratio_to_at_least_one, safe_ratio
+from tracewright.operators.joining import explode_values
 
 # Attack groups and the terms that put an attack type into them.
 ATTACK_GROUPS = [
@@ -24,8 +25,8 @@ def with_total(counts: DataFrame, rows: DataFrame, name: str = "total") -> DataF
 
 
 def distinct_labels(rows: DataFrame) -> DataFrame:
-    label = rows.select(F.explode("labels").alias("label"))
-    return label.where(F.col("label").isNotNull() & (F.col("label") != "")).distinct()
+    label = explode_values(rows, [], "labels", "label")
+    return label.where(F.col("label") != "").distinct()
 
 
 def class_list(rows: DataFrame) -> DataFrame:
@@ -55,8 +56,7 @@ def attach_label_vectors(rows: DataFrame, lists: DataFrame, key: str | None = "l
 
 
 def label_frequency(rows: DataFrame) -> DataFrame:
-    counts = (rows.select(F.explode("labels").alias("label")).groupBy("label")
-              .agg(F.count("*").alias("n_rows")))
+    counts = explode_values(rows, [], "labels", "label").groupBy("label").agg(F.count("*").alias("n_rows"))
     counts = with_total(counts, rows)
     return (counts.select("label", "n_rows", percentage(F.col("n_rows"), F.col("total")).alias("pct"))
             .orderBy(F.desc("n_rows"), "label"))
@@ -83,7 +83,7 @@ def files_per_type(files: DataFrame) -> DataFrame:
 
 def label_rollup(rows: DataFrame) -> DataFrame:
     """Label counts per log type, per type total and overall in one pass."""
-    pairs = rows.select("log_type", F.explode("labels").alias("label"))
+    pairs = explode_values(rows, ["log_type"], "labels", "label")
     return (pairs.rollup("log_type", "label")
             .agg(F.count("*").alias("n_labels"), F.grouping_id().cast("int").alias("level")))
 

@@ -12,6 +12,16 @@ BROADCAST_BYTES = 64 << 20
 HEAVY_PARTS = 1000
 
 
+def explode_values(rows: DataFrame, keep: list, values, name: str) -> DataFrame:
+    """One row per non-null entry of an array.
+
+    The outer form with a filter behind it: a plain explode makes the optimizer
+    test the array's size first, and so compute an array expression (a
+    tokenizer, a JSON parser) again for the test.
+    """
+    return rows.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.count() * row_bytes <= limit
 
