@@ -104,10 +104,15 @@ def event_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_cells(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (event, class): y_true, score, y_pred."""
-    e = event_vectors(spark, sf)
-    z = F.arrays_zip(F.col("classes").alias("class"), F.col("y_true").cast("array<int>").alias("y_true"),
-                     F.col("scores").alias("score"), F.col("y_pred").cast("array<int>").alias("y_pred"))
-    return e.select("row_id", "log_type", F.inline(z))
+    e = labelled_events(spark, sf).select("row_id", "log_type", "labels")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(c).alias("class")) for i, c in enumerate(CLASSES)]))
+    c = e.select("row_id", "log_type", "labels", each.alias("c"))
+    y = F.array_contains("labels", F.col("c.class")).cast("int")
+    c = c.select("row_id", "log_type", F.col("c.class").alias("class"), y.alias("y_true"),
+                 ((F.col("row_id") * 7919 + F.col("c.idx") * 104729) % 1000 * 6).alias("step"))
+    step = F.col("step") + F.col("y_true") * 4000
+    return c.select("row_id", "log_type", "class", "y_true", (step / F.lit(10000.0)).alias("score"),
+                    (step >= 5000).cast("int").alias("y_pred"))
 
 
 CELLS = EVENTS + """,
