@@ -21,7 +21,7 @@ def file_listing(spark, sf):
     """Files below the root, each with its number of lines."""
     logs, _ = log_tree(spark, sf)
     files = lg.list_files(spark, logs).select("rel_path", "bytes")
-    lines = lg.scan_lines(spark, logs).groupBy("rel_path").agg(F.count("*").alias("n_lines"))
+    lines = lg.number_lines(lg.scan_lines(spark, logs), logs).groupBy("rel_path").agg(F.max("line_no").alias("n_lines"))
     return files.join(lines, "rel_path").select(folder("rel_path").alias("folder"), "n_lines")
 
 
@@ -41,7 +41,7 @@ def label_rows(spark, sf):
 @query("s06_text_files", f"WITH {TREE} SELECT DISTINCT folder FROM num")
 def text_files(spark, sf):
     logs, _ = log_tree(spark, sf)
-    return lg.text_files(lg.scan_lines(spark, logs)).select(folder("rel_path").alias("folder"))
+    return lg.text_files(lg.scan_lines(spark, logs), logs).select(folder("rel_path").alias("folder"))
 
 
 @query("j01_labelled_lines", f"""WITH {TREE} SELECT n.folder, split_part(n.folder, '/', 1) AS tenant, n.line_no,
@@ -50,10 +50,9 @@ def text_files(spark, sf):
 def labelled_lines(spark, sf):
     """Whole ingestion job: scan, number, label, type, compact. Label files carry another name, so match by folder."""
     logs, labels = log_tree(spark, sf)
-    lines = lg.read_log_lines(spark, logs).withColumn("rel_path", folder("rel_path"))
-    marks = lg.read_labels(spark, labels).withColumn("rel_path", folder("rel_path"))
-    out = ingest.compact_records(lines.withColumn("rel_path", F.concat("rel_path", F.lit("/access.log"))),
-                                 marks.withColumn("rel_path", F.concat("rel_path", F.lit("/access.log"))))
+    named = F.concat(folder("rel_path"), F.lit("/access.log"))
+    lines = lg.read_log_lines(spark, logs).withColumn("rel_path", named)
+    out = ingest.compact_records(lines, lg.read_labels(spark, labels).withColumn("rel_path", named))
     return out.select(folder("rel_path").alias("folder"), "tenant", "line_no", F.array_join("labels", ",").alias("labels"))
 
 

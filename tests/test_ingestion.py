@@ -55,8 +55,8 @@ def test_numbers_across_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 32 * 1024)
     try:
         raw = lg.scan_lines(spark, str(tmp_path))
-        assert raw.select("rel_path", "block").distinct().count() > 10
-        rows = lg.number_lines(raw).where("rel_path = 't/big.log'").collect()
+        assert raw.select("file", "block").distinct().count() > 10
+        rows = lg.number_lines(raw, str(tmp_path)).where("rel_path = 't/big.log'").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [v for _, v in sorted((r.line_no, r.value) for r in rows)] == text
@@ -64,7 +64,7 @@ def test_numbers_across_blocks(spark, tmp_path):
 
 
 def test_text_probe(spark, tree):
-    found = {r.rel_path for r in lg.text_files(lg.scan_lines(spark, tree[0])).collect()}
+    found = {r.rel_path for r in lg.text_files(lg.scan_lines(spark, tree[0]), tree[0]).collect()}
     assert "b/bin/image.log" not in found
     assert {"b/bin/late_nul.log", "b/bin/bad_utf8 100%.log", "a/h/logs/auth.log.1"} <= found
 

@@ -64,8 +64,20 @@ def is_hidden(path: Column) -> Column:
     return F.startswith(file_name(path), F.lit("."))
 
 
-# First three whitespace-separated tokens at the very start of a line, then the rest.
-HEAD = r"(?U)^(\S+\s+\S+\s+\S+)([\s\S]*)$"
+# Three whitespace-separated tokens at the very start of a line.
+HEAD = r"(?U)^(\S+\s+\S+\s+\S+)"
+
+# The characters that count as white space around a text.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def is_blank(text: Column) -> Column:
+    return strip(text) == ""
 
 
 def timestamp_text(line: Column) -> Column:
@@ -75,12 +87,8 @@ def timestamp_text(line: Column) -> Column:
 
 
 def message_text(line: Column) -> Column:
-    head = F.regexp_extract(line, HEAD, 1)
-    return strip(F.when(head != "", F.regexp_extract(line, HEAD, 2)).otherwise(line))
-
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """What follows the timestamp tokens; the whole line if there are none."""
+    return strip(F.substring(line, F.length(F.regexp_extract(line, HEAD, 1)) + 1, F.length(line)))
 
 
 def compact_line(line: Column) -> Column:

@@ -33,10 +33,12 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     A lookup table that was counted and fits is broadcast. Otherwise the few
     keys that hold more than a thousandth of the rows each (at most a thousand
     by definition) are joined by broadcast, so they never meet in one task, and
-    all other keys go through an ordinary shuffle join.
+    all other keys go through an ordinary shuffle join. Both inputs are written
+    first, as each is read several times.
     """
     if fits_broadcast(lookup, row_bytes, limit):
         return rows.join(F.broadcast(lookup), keys, how)
+    rows, lookup = settle(rows, "rows"), settle(lookup, "lookup")
     counts = settle(rows.groupBy(*keys).agg(F.count("*").alias("key_rows")), "keys")
     total = counts.agg(F.sum("key_rows").alias("n")).first()["n"] or 0
     heavy = counts.where(F.col("key_rows") * HEAVY_PARTS > total).select(*keys)

@@ -11,6 +11,8 @@ from tracewright.functions.numbers import draw_key
 # Hex digits of a draw key that name its bucket: 16**5 buckets, so a class of
 # 10**12 rows still has about a million rows per bucket.
 BUCKET_DIGITS = 5
+# Coarser buckets where only the one around a cut is ranked.
+CUT_DIGITS = 4
 # Split points for ordering by a number.
 SPLIT_POINTS = 512
 
@@ -19,6 +21,24 @@ def _running(group: list[str], order: str):
     return W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
+def _bucketed(df: DataFrame, group: list[str], ids: list[str], seed: int, digits: int) -> DataFrame:
+    """Add draw, bucket, bucket_rows, rows_before and group_rows; one small row per (group, bucket) is joined in."""
+    keyed = df.withColumn("draw", draw_key(seed, *[F.col(c) for c in ids]))
+    keyed = keyed.withColumn("bucket", F.substring("draw", 1, digits))
+    names = [f"group_{i}" for i in range(len(group))]
+    sizes = keyed.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col("bucket").alias("in_bucket"))
+    sizes = sizes.agg(F.count("*").alias("bucket_rows"))
+    sizes = sizes.withColumn("rows_before", F.coalesce(F.sum("bucket_rows").over(_running(names, "in_bucket")), F.lit(0)))
+    sizes = sizes.withColumn("group_rows", F.sum("bucket_rows").over(W.partitionBy(*names)))
+    same = F.col("bucket") == F.col("in_bucket")
+    for c, n in zip(group, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return keyed.join(sizes, same).drop("in_bucket", *names)
+
+
+HELPERS = ["draw", "bucket", "bucket_rows", "rows_before"]
+
+
 def draw_rank(df: DataFrame, group: list[str], ids: list[str], seed: int = 42) -> DataFrame:
     """Add ``rank`` (1-based, by hashed id within the group) and ``group_rows``.
 
@@ -27,51 +47,52 @@ def draw_rank(df: DataFrame, group: list[str], ids: list[str], seed: int = 42) -
     of the rows is spread over all buckets, and only the bucket sizes pass
     through a window per group.
     """
-    keyed = df.withColumn("draw", draw_key(seed, *[F.col(c) for c in ids]))
-    keyed = keyed.withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
-    names = [f"group_{i}" for i in range(len(group))]
-    sizes = keyed.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], F.col("bucket").alias("in_bucket"))
-    sizes = sizes.agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("rows_before", F.coalesce(F.sum("n").over(_running(names, "in_bucket")), F.lit(0)))
-    sizes = sizes.withColumn("group_rows", F.sum("n").over(W.partitionBy(*names))).drop("n")
-    same = F.col("bucket") == F.col("in_bucket")
-    for c, n in zip(group, names):
-        same = same & F.col(c).eqNullSafe(F.col(n))
-    joined = keyed.join(sizes, same).drop("in_bucket", *names)
+    joined = _bucketed(df, group, ids, seed, BUCKET_DIGITS)
     inside = F.row_number().over(W.partitionBy(*group, "bucket").orderBy("draw", *ids))
-    return (joined.withColumn("rank", F.col("rows_before") + inside)
-            .drop("draw", "bucket", "rows_before"))
+    return joined.withColumn("rank", F.col("rows_before") + inside).drop(*HELPERS)
+
+
+def draw_first(df: DataFrame, group: list[str], ids: list[str], cut: Column, seed: int = 42) -> DataFrame:
+    """Add boolean ``first``: whether the row's rank by hashed id is at most ``cut``, and ``group_rows``.
+
+    ``cut`` may use ``group_rows``. Whole buckets fall on one side of the cut;
+    only rows of the one bucket per group that straddles it are ranked, so the
+    table itself is not shuffled.
+    """
+    joined = _bucketed(df, group, ids, seed, CUT_DIGITS).withColumn("cut", cut)
+    straddles = (F.col("rows_before") < F.col("cut")) & (F.col("rows_before") + F.col("bucket_rows") > F.col("cut"))
+    clear = joined.where(~straddles).withColumn("first", F.col("rows_before") < F.col("cut"))
+    inside = F.row_number().over(W.partitionBy(*group, "bucket").orderBy("draw", *ids))
+    edge = joined.where(straddles).withColumn("first", F.col("rows_before") + inside <= F.col("cut"))
+    return clear.unionByName(edge).drop(*HELPERS, "cut")
 
 
 def sample_rows(df: DataFrame, n: int, ids: list[str], seed: int = 42) -> DataFrame:
     """Exactly n rows (or all), chosen by hashed id."""
-    return draw_rank(df, [], ids, seed).where(F.col("rank") <= n).drop("rank", "group_rows")
+    return draw_first(df, [], ids, F.lit(n), seed).where("first").drop("first", "group_rows")
 
 
 def sample_per_class(df: DataFrame, label: str, ids: list[str], per_class: int = 1500,
                      total: int = 50_000, seed: int = 42) -> DataFrame:
     """At most ``per_class`` rows of each class, then at most ``total`` rows."""
-    picked = draw_rank(df, [label], ids, seed).where(F.col("rank") <= per_class).drop("rank", "group_rows")
+    picked = draw_first(df, [label], ids, F.lit(per_class), seed).where("first").drop("first", "group_rows")
     return sample_rows(picked, total, ids, seed)
 
 
 def split_rows(df: DataFrame, ids: list[str], train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``part`` = train for exactly floor(share * n) rows, else test."""
-    ranked = draw_rank(df, [], ids, seed)
-    return _part(ranked, F.floor(F.col("group_rows") * F.lit(train_share)))
+    return _part(draw_first(df, [], ids, F.floor(F.col("group_rows") * F.lit(train_share)), seed))
 
 
 def stratified_split(df: DataFrame, label: str, ids: list[str], test_share: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Add ``part``: within each class round(share * n) rows are test rows."""
-    ranked = draw_rank(df, [label], ids, seed)
     n_test = F.floor(F.col("group_rows") * F.lit(test_share) + F.lit(0.5))
-    return _part(ranked, F.col("group_rows") - n_test)
+    return _part(draw_first(df, [label], ids, F.col("group_rows") - n_test, seed))
 
 
-def _part(ranked: DataFrame, n_train: Column) -> DataFrame:
-    part = F.when(F.col("rank") <= n_train, "train").otherwise("test")
-    return ranked.withColumn("part", part).drop("rank", "group_rows")
+def _part(cut: DataFrame) -> DataFrame:
+    return cut.withColumn("part", F.when(F.col("first"), "train").otherwise("test")).drop("first", "group_rows")
 
 
 def stratified_folds(df: DataFrame, label: str, ids: list[str], k: int = 5, seed: int = 42) -> DataFrame:

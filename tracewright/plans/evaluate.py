@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tracewright.operators import counts as ct
 from tracewright.operators import models as md
 from tracewright.operators import taxonomy as tn
 from tracewright.operators import vector_stats as vs
+from tracewright.operators.ranking import draw_rank
 from tracewright.operators.reports import evaluation_report
 from tracewright.session import settle
 from tracewright.sources import tables as tb
@@ -76,11 +78,12 @@ def run(spark: SparkSession, features: str, out: str, trees: int = 100, folds: i
     try:
         finished = spark.read.parquet(f"{out}/metrics").select("log_type", "embedding_type").distinct()
         work = work.join(finished, ["log_type", "embedding_type"], "left_anti")
-    except Exception:  # no output yet
+    except AnalysisException:  # no output yet
         pass
     for item in work.orderBy("log_type", "embedding_type").collect():
         rows = tb.read_features(spark, features, item["embedding_type"], item["log_type"])
-        rows = rows.withColumn("id", F.xxhash64("row_id")).withColumn("label", lb.has_any_bit(F.col("label_vector")))
+        rows = draw_rank(rows, [], ["row_id"], seed).withColumnRenamed("rank", "id").drop("group_rows")
+        rows = rows.withColumn("label", lb.has_any_bit(F.col("label_vector")))
         values = settle(configuration_metrics(rows, "embedding", "label", "id", trees, folds, seed), "metrics")
         title = f"{item['log_type']} / {item['embedding_type']}"
         tb.write_report(evaluation_report(values, title), f"{out}/reports/{item['log_type']}/{item['embedding_type']}")

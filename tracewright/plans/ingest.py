@@ -13,11 +13,13 @@ from tracewright.sources.tables import write_compact
 
 def compact_records(lines: DataFrame, labels: DataFrame, strict_types: bool = False) -> DataFrame:
     """Typed, compacted, labelled lines from (rel_path, line_no, value) and (rel_path, line_no, labels)."""
+    if "log_type" not in lines.columns:
+        lines = lines.withColumn("tenant", tx.tenant(F.col("rel_path"))).withColumn(
+            "log_type", tx.log_type(F.col("rel_path"), strict_types))
     joined = lg.join_labels(lines, labels)
     return joined.select(
-        tx.tenant(F.col("rel_path")).alias("tenant"), "rel_path", "line_no",
-        tx.timestamp_text(F.col("value")).alias("log_ts_text"), tx.message_text(F.col("value")).alias("message"),
-        lb.clean_labels(F.col("labels")).alias("labels"), tx.log_type(F.col("rel_path"), strict_types).alias("log_type"))
+        "tenant", "rel_path", "line_no", tx.timestamp_text(F.col("value")).alias("log_ts_text"),
+        tx.message_text(F.col("value")).alias("message"), lb.clean_labels(F.col("labels")).alias("labels"), "log_type")
 
 
 def labelled_logs(spark: SparkSession, logs_root: str, labels_root: str, by_name: bool = False,
@@ -28,10 +30,10 @@ def labelled_logs(spark: SparkSession, logs_root: str, labels_root: str, by_name
     across folders instead. Files that do not look like text are left out.
     """
     raw = lg.scan_lines(spark, logs_root)
-    lines = lg.number_lines(raw).where(tx.strip(F.col("value")) != "")
+    lines = lg.number_lines(raw, logs_root, strict_types).where(~tx.is_blank(F.col("value")))
     lines = lines.where(~tx.is_hidden(F.col("rel_path")))
     if probe_text:
-        lines = lines.join(lg.text_files(raw), "rel_path", "left_semi")
+        lines = lines.join(lg.text_files(raw, logs_root), "rel_path", "left_semi")
     labels = lg.read_labels(spark, labels_root)
     if by_name:
         pairs = lg.match_label_files(lg.list_files(spark, logs_root), lg.list_files(spark, labels_root))

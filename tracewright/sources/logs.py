@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tracewright.functions import text as tx
+from tracewright.operators.joining import lookup_join
 
 LABEL_SCHEMA = T.StructType([
     T.StructField("line", T.LongType()),
@@ -40,65 +41,73 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
 
 
 def scan_lines(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Raw lines with file, block and a position that grows in reading order within a block."""
+    """Raw lines with file, block and a position that grows in reading order within a block.
+
+    ``file`` is the path as Spark reports it; relative paths and everything
+    else that depends on the file alone are worked out on file-level tables.
+    """
     reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.text(root).select(
-        F.col("value"),
-        relative_path(F.col("_metadata.file_path"), root, encoded=True).alias("rel_path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
+        F.col("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_BLOCKS else table
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Add the 1-based ``line_no`` of each line in its file.
+def number_lines(lines: DataFrame, root: str, strict_types: bool = False) -> DataFrame:
+    """(rel_path, tenant, log_type, line_no, value) with 1-based line numbers per file.
 
     A task reads a block front to back, so ``pos`` counts up by one inside a
     block. One small row per block (first position, line count) is enough to
-    turn it into a file-wide number: no line is shuffled or sorted. Both uses
+    turn it into a file-wide number: no line is shuffled or sorted. Path,
+    tenant and type are computed once per block row, not per line. Both uses
     of ``lines`` read one file listing, hence the same task layout; a mismatch
     would put the position outside the block and fails the job.
     """
-    blocks = lines.groupBy("rel_path", "block").agg(
+    blocks = lines.groupBy("file", "block").agg(
         F.min("pos").alias("first_pos"), F.count("*").alias("n_lines"))
-    before = W.partitionBy("rel_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("lines_before", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    path = relative_path(F.col("file"), root, encoded=True)
+    blocks = blocks.select(
+        "file", "block", "first_pos", "n_lines", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
+        path.alias("rel_path"))
+    blocks = blocks.withColumn("tenant", tx.tenant(F.col("rel_path"))).withColumn(
+        "log_type", tx.log_type(F.col("rel_path"), strict_types))
     offset = F.col("pos") - F.col("first_pos")
     inside = (offset >= 0) & (offset < F.col("n_lines"))
     number = F.when(inside, F.col("lines_before") + offset + 1).otherwise(
         F.raise_error(F.lit("line position outside its block")).cast("bigint"))
-    return (lines.join(blocks, ["rel_path", "block"])
-            .select("rel_path", number.alias("line_no"), "value"))
+    return (lines.join(_small(blocks), ["file", "block"])
+            .select("rel_path", "tenant", "log_type", number.alias("line_no"), "value"))
 
 
-def read_log_lines(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+def read_log_lines(spark: SparkSession, root: str, pattern: str | None = None, strict_types: bool = False) -> DataFrame:
     """Numbered non-blank lines; numbers count physical lines, blank ones included."""
-    numbered = number_lines(scan_lines(spark, root, pattern))
-    return numbered.where(tx.strip(F.col("value")) != "")
+    numbered = number_lines(scan_lines(spark, root, pattern), root, strict_types)
+    return numbered.where(~tx.is_blank(F.col("value")))
 
 
-def text_files(lines: DataFrame, text_suffixes: tuple[str, ...] = (".txt", ".csv", ".html")) -> DataFrame:
+def text_files(lines: DataFrame, root: str, text_suffixes: tuple[str, ...] = (".txt", ".csv", ".html")) -> DataFrame:
     """rel_path of files that look like text: a text suffix, or no NUL in the first 1024 bytes.
 
     Only the first 1024 lines of a file can start inside that window, so rows
     are cut by position before the shuffle and the running byte offset is over
     a bounded group.
     """
-    first = lines.where(F.col("block") == 0).groupBy("rel_path").agg(F.min("pos").alias("first_pos"))
-    if first.count() <= MAX_BROADCAST_BLOCKS:
-        first = F.broadcast(first)
-    opening = (lines.where(F.col("block") == 0).join(first, "rel_path")
-               .where(F.col("pos") < F.col("first_pos") + 1024)
-               .select("rel_path", "pos", F.col("value").cast("binary").alias("raw")))
-    upto = W.partitionBy("rel_path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    opening = lines.where(F.col("block") == 0)
+    first = opening.groupBy("file").agg(F.min("pos").alias("first_pos"))
+    opening = (opening.join(_small(first), "file").where(F.col("pos") < F.col("first_pos") + 1024)
+               .select("file", "pos", F.col("value").cast("binary").alias("raw")))
+    upto = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     opening = opening.withColumn("start", F.coalesce(F.sum(F.octet_length("raw") + 1).over(upto), F.lit(0)))
     window = F.greatest(F.lit(1024) - F.col("start"), F.lit(0)).cast("int")
     has_nul = F.hex(F.substring(F.col("raw"), F.lit(1), window)).rlike("^(?:..)*?00")
-    flags = opening.groupBy("rel_path").agg(F.bool_or(has_nul).alias("binary"))
+    flags = opening.groupBy("file").agg(F.bool_or(has_nul).alias("binary"))
+    flags = flags.withColumn("rel_path", relative_path(F.col("file"), root, encoded=True))
     named = F.lit(False)
     for ending in text_suffixes:
         named = named | F.endswith(F.lower("rel_path"), F.lit(ending))
@@ -106,25 +115,26 @@ def text_files(lines: DataFrame, text_suffixes: tuple[str, ...] = (".txt", ".csv
 
 
 def label_files(lines: DataFrame) -> DataFrame:
-    """rel_path of files where one of the first five physical lines parses as JSON."""
-    order = W.partitionBy("rel_path").orderBy("block", "pos")
+    """Files where one of the first five physical lines parses as JSON."""
+    order = W.partitionBy("file").orderBy("block", "pos")
     first = lines.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 5)
-    parses = F.try_parse_json(F.nullif(F.btrim("value"), F.lit(""))).isNotNull()
-    return first.groupBy("rel_path").agg(F.bool_or(parses).alias("ok")).where("ok").select("rel_path")
+    parses = F.try_parse_json(F.nullif(tx.strip(F.col("value")), F.lit(""))).isNotNull()
+    return first.groupBy("file").agg(F.bool_or(parses).alias("ok")).where("ok").select("file")
 
 
-def parse_label_lines(lines: DataFrame) -> DataFrame:
+def parse_label_lines(lines: DataFrame, root: str) -> DataFrame:
     """(rel_path, line_no, labels), one row per label; malformed lines dropped, last duplicate wins."""
-    keep = lines.join(label_files(lines), "rel_path", "left_semi")
+    keep = lines.join(_small(label_files(lines)), "file", "left_semi")
     item = F.from_json("value", "line bigint, labels array<string>")
-    rows = (keep.select("rel_path", "block", "pos", item.alias("item"))
+    rows = (keep.select("file", "block", "pos", item.alias("item"))
             .where("item.line is not null and item.labels is not null"))
-    return rows.groupBy("rel_path", F.col("item.line").alias("line_no")).agg(
+    last = rows.groupBy("file", F.col("item.line").alias("line_no")).agg(
         F.max_by("item.labels", F.struct("block", "pos")).alias("labels"))
+    return last.select(relative_path(F.col("file"), root, encoded=True).alias("rel_path"), "line_no", "labels")
 
 
 def read_labels(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    return parse_label_lines(scan_lines(spark, root, pattern))
+    return parse_label_lines(scan_lines(spark, root, pattern), root)
 
 
 def read_label_rules(spark: SparkSession, root: str) -> DataFrame:
@@ -139,24 +149,24 @@ def match_label_files(logs: DataFrame, labels: DataFrame) -> DataFrame:
     """log_path -> label_path: label name starts with the log stem, in any folder.
 
     Preference: same suffix, then both suffixes numeric, then path order; a
-    single candidate needs no preference. Candidates are found by equality on
-    prefixes: each label name is expanded into its own prefixes, so the join is
-    an equi join on names (file level, not line level).
+    single candidate needs no preference. Each label name is expanded into its
+    own prefixes, so candidates are found by equality. The best label per
+    prefix and kind is picked first; a log file then looks up one row per kind,
+    however many files share its stem.
     """
     name = tx.file_name(F.col("rel_path"))
-    left = logs.select(F.col("rel_path").alias("log_path"), tx.stem(name).alias("key"),
-                       tx.suffix(name).alias("log_suffix"), tx.numeric_suffix(name).alias("log_numeric"))
-    right = labels.select(
-        F.col("rel_path").alias("label_path"), tx.suffix(name).alias("label_suffix"),
-        tx.numeric_suffix(name).alias("label_numeric"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n)))
-        .alias("key"))
-    # Best label per (name prefix, suffix kind) first, so a stem shared by many tenants stays small.
-    best = right.groupBy("key", "label_suffix", "label_numeric").agg(F.min("label_path").alias("label_path"))
-    rank = (F.when(F.col("log_suffix") == F.col("label_suffix"), 0)
-            .when(F.col("log_numeric") & F.col("label_numeric"), 1).otherwise(2))
-    return (left.join(best, "key").groupBy("log_path")
-            .agg(F.min_by("label_path", F.struct(rank, "label_path")).alias("label_path")))
+    left = logs.select(F.col("rel_path").alias("log_path"), tx.stem(name).alias("stem"),
+                       tx.suffix(name).alias("ending"), tx.numeric_suffix(name).alias("numbered"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))
+    right = labels.select(F.col("rel_path").alias("path"), tx.suffix(name).alias("ending"),
+                          tx.numeric_suffix(name).alias("numbered"), F.explode(prefixes).alias("stem"))
+    by_any = right.groupBy("stem").agg(F.min("path").alias("any_path"),
+                                       F.min(F.when(F.col("numbered"), F.col("path"))).alias("numbered_path"))
+    by_ending = right.groupBy("stem", "ending").agg(F.min("path").alias("same_path"))
+    found = lookup_join(left, by_any, ["stem"], "inner")
+    found = lookup_join(found, by_ending, ["stem", "ending"], "left")
+    best = F.coalesce("same_path", F.when(F.col("numbered"), F.col("numbered_path")), "any_path")
+    return found.select("log_path", best.alias("label_path"))
 
 
 def join_labels(lines: DataFrame, labels: DataFrame) -> DataFrame:
