@@ -156,7 +156,7 @@ def svm_smote(rows: DataFrame, k: int = 5, share: float = 0.5, row_id: str = "ro
     index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)) - 1
     data = points.withColumn("f_", array_to_vector("vec")).withColumn("y_", index.cast("double"))
     model = OneVsRest(classifier=LinearSVC(maxIter=20, featuresCol="f_", labelCol="y_"), featuresCol="f_",
-                      labelCol="y_", predictionCol="p_").fit(data)
+                      labelCol="y_", predictionCol="p_", parallelism=4).fit(data)
     margin = F.abs(F.get(vector_to_array("rawPrediction"), F.col("y_").cast("int")))
     scored = model.transform(data).select("row_id", "vec", label, margin.alias("margin"))
     scored = settle(scored.join(need.select(label), label, "left_semi"), "margin")
