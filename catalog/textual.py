@@ -10,6 +10,7 @@ from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
 from tracewright.operators import embedding as em
 from tracewright.operators import vector_stats as vs
+from tracewright.session import settle
 
 WIDTH = 64
 
@@ -44,8 +45,8 @@ def vocabulary_counts(spark, sf):
   SELECT t.row_id, coalesce(max(round(m, 4)) FILTER (d = 0), 0) AS m0, coalesce(max(round(m, 4)) FILTER (d = 7), 0) AS m7
   FROM tok t LEFT JOIN p USING (row_id) GROUP BY 1""")
 def mean_pool(spark, sf):
-    rows = _tokens(spark, sf)
-    out = em.mean_pool(rows.select("row_id", "tokens"), _vocab(rows), 8)
+    rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
+    out = em.mean_pool(rows, _vocab(rows), 8)
     v = F.col("embedding").cast("array<double>")
     return out.select("row_id", F.round(v[0], 4).alias("m0"), F.round(v[7], 4).alias("m7"))
 
@@ -59,9 +60,9 @@ def mean_pool(spark, sf):
   p AS (SELECT row_id, avg(x) AS m FROM one JOIN full0 USING (token) GROUP BY 1)
   SELECT row_id, coalesce(round(m, 4), 0) AS m0 FROM tok LEFT JOIN p USING (row_id)""")
 def subword_pool(spark, sf):
-    rows = _tokens(spark, sf)
+    rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
     buckets = em.hashed_vectors(spark.range(1000).select(F.col("id").cast("int").alias("bucket")), 8, "bucket")
-    out = em.subword_pool(rows.select("row_id", "tokens"), _vocab(rows), buckets, 1000, 8)
+    out = em.subword_pool(rows, _vocab(rows), buckets, 1000, 8)
     return out.select("row_id", F.round(F.col("embedding").cast("array<double>")[0], 4).alias("m0"))
 
 
@@ -138,7 +139,7 @@ def masked_features(spark, sf):
   SELECT row_id, round(max((x - m) / d) FILTER (i = 1), 5) AS z1, round(sum(((x - m) / d) ** 2), 4) AS energy
   FROM u JOIN s USING (i) GROUP BY 1""")
 def standardized(spark, sf):
-    z = vs.standardize(vectors(spark, sf), "vec", WIDTH)
+    z = vs.standardize(vectors(spark, sf), "vec")
     return z.select("row_id", F.round(F.col("scaled")[0], 5).alias("z1"), F.round(vc.dot(F.col("scaled"), F.col("scaled")), 4).alias("energy"))
 
 

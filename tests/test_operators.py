@@ -10,6 +10,7 @@ from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
 from tracewright.operators import balance as bl
 from tracewright.operators import clustering as cl
+from tracewright.operators import embedding as em
 from tracewright.operators import metrics as mt
 from tracewright.operators import ranking as rk
 from tracewright.operators import taxonomy as tn
@@ -309,3 +310,30 @@ def test_fixed_decimals_round_like_printf(spark):
     values = [0.48995, 0.0075, 1234.5678, 0.5, 2.675]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(nu.fixed(F.col("v"), 4)).collect()] == [f"{v:.4f}" for v in values]
+
+
+def test_wide_vectors_give_the_same_results(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i // 3, i % 3, int(i % 3 != 1 and i > 2), [float(t) for t in r.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, pos int, mask int, vec array<double>")
+
+    def results():
+        pooled = sorted(em.pool_sequences(df, 4).collect())
+        means = sorted(vs.mean_vector(df, "vec", ["row_id"], 4).collect())
+        return [np.array([[*p.first_vec, *p.mean_vec, *p.max_vec] for p in pooled]), np.array([m["mean"] for m in means])]
+    narrow = results()
+    monkeypatch.setattr(vs, "WIDE", 2)
+    for a, b in zip(narrow, results()):
+        assert np.allclose(a, b, atol=1e-9)
+    assert (narrow[0][0][4:8] == 0).all() and (narrow[0][0][8:] == -1e9).all()
+
+
+def test_mean_pool_hot_tokens_beyond_broadcast(spark):
+    words = ["the"] * 6 + ["rare", "other", "unknown"]
+    rows = spark.createDataFrame([(i, words[: 3 + i % 7]) for i in range(60)] + [(99, ["unknown"]), (100, [])],
+                                 "row_id bigint, tokens array<string>")
+    vocab = spark.createDataFrame([("the", [1.0, 0.0]), ("rare", [0.0, 4.0]), ("other", [2.0, 2.0])], "token string, vec array<double>")
+    small = {r.row_id: list(r.embedding) for r in em.mean_pool(rows, vocab, 2).collect()}
+    large = {r.row_id: list(r.embedding) for r in em.mean_pool(rows, vocab, 2, limit=0).collect()}
+    assert small == large and small[99] == small[100] == [0.0, 0.0]
+    assert small[5] == pytest.approx([8 / 8, 6 / 8])

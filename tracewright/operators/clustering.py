@@ -17,7 +17,7 @@ from tracewright.operators.joining import lookup_join
 from tracewright.operators.neighbors import nearest_label
 from tracewright.operators.ranking import running_totals
 from tracewright.operators.vector_stats import (
-    cluster_centroids, mean_vector, per_dimension, standardize, width_of)
+    cluster_centroids, mean_agg, mean_vector, standardize, width_of)
 from tracewright.session import settle
 
 
@@ -264,7 +264,7 @@ def silhouette_squared(rows: DataFrame, vector: str, label: str) -> DataFrame:
     width = width_of(rows, vector)
     v = vc.as_doubles(F.col(vector))
     data = rows.select(F.col(label).alias("c"), v.alias("v"), vc.dot(v, v).alias("q"))
-    stats = data.groupBy("c").agg(F.count("*").alias("n"), per_dimension(F.avg, "v", width).alias("m"),
+    stats = data.groupBy("c").agg(F.count("*").alias("n"), mean_agg("v", width).alias("m"),
                                   F.avg("q").alias("mq"))
     table = stats.agg(F.collect_list(F.struct("c", "n", "m", "mq")).alias("t"))
     both = data.withColumn("t", table.scalar())

@@ -1,11 +1,12 @@
-"""Statistics over vector columns, computed dimension by dimension in one aggregate."""
+"""Statistics over vector columns, each in one aggregate without exploding dimensions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tracewright.functions import vectors as vc
 
@@ -15,19 +16,29 @@ def width_of(rows: DataFrame, vector: str) -> int:
     return first["n"] if first else 0
 
 
-def per_dimension(fn, vector: str, width: int):
-    """array(fn(v[0]), fn(v[1]), ...): partial aggregation per task, no explode."""
-    return F.array(*[fn(F.col(vector)[i].cast("double")) for i in range(width)])
+# Up to this width one generated aggregate column per dimension is fastest; beyond it the generated code gets
+# too large and a single vector aggregate is.
+WIDE = 64
+
+
+def mean_agg(vector: str, width: int) -> Column:
+    """Mean vector as an aggregate: partial aggregation per task, no explode."""
+    if width > WIDE:
+        return vector_to_array(Summarizer.mean(array_to_vector(vc.as_doubles(F.col(vector)))))
+    return F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(width)])
 
 
 def mean_vector(rows: DataFrame, vector: str, keys: list[str], width: int, name: str = "mean") -> DataFrame:
-    return rows.groupBy(*keys).agg(per_dimension(F.avg, vector, width).alias(name))
+    return rows.groupBy(*keys).agg(mean_agg(vector, width).alias(name))
 
 
-def dimension_stats(rows: DataFrame, vector: str, width: int) -> DataFrame:
+def dimension_stats(rows: DataFrame, vector: str) -> DataFrame:
     """One row: mean and population deviation per dimension."""
-    return rows.agg(per_dimension(F.avg, vector, width).alias("mean"),
-                    per_dimension(F.stddev_pop, vector, width).alias("dev"))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(vc.as_doubles(F.col(vector))))
+    n = F.col("s.count").cast("double")
+    # The summary gives the sample variance.
+    dev = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return rows.agg(summary.alias("s")).select(vector_to_array("s.mean").alias("mean"), dev.alias("dev"))
 
 
 def matrix_stats(rows: DataFrame, vector: str, width: int) -> DataFrame:
@@ -48,13 +59,12 @@ def matrix_stats(rows: DataFrame, vector: str, width: int) -> DataFrame:
                       F.sqrt(F.greatest(F.sum("q") / n - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def standardize(rows: DataFrame, vector: str, width: int | None = None, out: str = "scaled") -> DataFrame:
+def standardize(rows: DataFrame, vector: str, out: str = "scaled") -> DataFrame:
     """Zero mean, unit population deviation; constant dimensions are only centred.
 
     The 2 x width statistics come in as a scalar subquery.
     """
-    width = width or width_of(rows, vector)
-    stats = dimension_stats(rows, vector, width).select(F.struct("mean", "dev").alias("s"))
+    stats = dimension_stats(rows, vector).select(F.struct("mean", "dev").alias("s"))
     scale = F.transform(F.col("stats_.dev"), lambda d: F.when(d > 0, d).otherwise(1.0))
     centred = F.zip_with(vc.as_doubles(F.col(vector)), F.col("stats_.mean"), lambda x, m: x - m)
     return (rows.withColumn("stats_", stats.scalar())
@@ -63,7 +73,7 @@ def standardize(rows: DataFrame, vector: str, width: int | None = None, out: str
 
 def cluster_centroids(rows: DataFrame, cluster: str, vector: str, width: int) -> DataFrame:
     return rows.groupBy(cluster).agg(F.count("*").alias("n_rows"),
-                                     per_dimension(F.avg, vector, width).alias("centroid"))
+                                     mean_agg(vector, width).alias("centroid"))
 
 
 def project(rows: DataFrame, vector: str, k: int = 2, out: str = "projected") -> DataFrame:
@@ -80,7 +90,7 @@ def reconstruction_scores(rows: DataFrame, vector: str, k: int, out: str = "scor
     without a shuffle.
     """
     width = width_of(rows, vector)
-    centred = (rows.withColumn("mean_", dimension_stats(rows, vector, width).select("mean").scalar())
+    centred = (rows.withColumn("mean_", dimension_stats(rows, vector).select("mean").scalar())
                .withColumn("c_", F.zip_with(vc.as_doubles(F.col(vector)), F.col("mean_"), lambda x, m: x - m)))
     prepared = centred.withColumn("v_", array_to_vector("c_"))
     model = PCA(k=k, inputCol="v_", outputCol="p_").fit(prepared)
