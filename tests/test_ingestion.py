@@ -30,7 +30,8 @@ def tree(tmp_path_factory):
     write(labels, "a/h/logs/auth.log.1", "\n".join([
         json.dumps({"line": 1, "labels": ["Old"]}), "broken {", json.dumps({"line": 3}), json.dumps({"labels": ["x"]}),
         json.dumps({"line": 1, "labels": ["New-Label ", "b"], "rules": {"b": ["r1", "r2"]}}),
-        json.dumps({"line": 5, "labels": ["tail"]})]))
+        json.dumps({"line": 5, "labels": ["tail"]}), json.dumps({"line": 4, "labels": "Solo"}),
+        json.dumps({"line": 5, "labels": None}), '{"line": 3, "labels": ["cut"]']))
     write(logs, "b/h/logs/auth.log.1", "other tenant line here\n")
     write(logs, "b/h/logs/x-error.log", "one two three four\n")
     write(labels, "b/h/logs/x-error.log", "not json\nstill not\n\n\n\n" + json.dumps({"line": 1, "labels": ["late"]}))
@@ -71,7 +72,8 @@ def test_text_probe(spark, tree):
 
 def test_labels_last_wins_and_probe(spark, tree):
     rows = {(r.rel_path, r.line_no): list(r.labels) for r in lg.read_labels(spark, tree[1]).collect()}
-    assert rows == {("a/h/logs/auth.log.1", 1): ["New-Label ", "b"], ("a/h/logs/auth.log.1", 5): ["tail"]}
+    assert rows == {("a/h/logs/auth.log.1", 1): ["New-Label ", "b"], ("a/h/logs/auth.log.1", 5): [],
+                    ("a/h/logs/auth.log.1", 4): ["Solo"]}
 
 
 def test_rules(spark, tree):
@@ -86,8 +88,8 @@ def test_whole_job(spark, tree, tmp_path):
     got = {(r.tenant, r.line_no): (r.log_ts_text, r.message, list(r.labels)) for r in rows}
     assert got == {
         ("a", 1): ("Jan 1 00:00:01", "first", ["new_label", "b"]),
-        ("a", 3): ("N/A", "lead spaces here now", []), ("a", 4): ("N/A", "x y", []),
-        ("a", 5): ("Jan 1 00:00:05", "last", ["tail"]), ("b", 1): ("other tenant line", "here", [])}
+        ("a", 3): ("N/A", "lead spaces here now", []), ("a", 4): ("N/A", "x y", ["solo"]),
+        ("a", 5): ("Jan 1 00:00:05", "last", []), ("b", 1): ("other tenant line", "here", [])}
     types = {r.log_type for r in tb.read_compact(spark, out).select("log_type").distinct().collect()}
     assert types == {"auth", "wp-error", "unknown"}
     with pytest.raises(FileNotFoundError):

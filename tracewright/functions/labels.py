@@ -13,13 +13,16 @@ def normalize_label(label: Column) -> Column:
 
 
 def labels_from_json(text: Column) -> Column:
-    """Distinct normalised labels of a JSON list or scalar; malformed text gives an empty list."""
+    """Distinct normalised labels of a JSON list or scalar; malformed text gives an empty list.
+
+    Most lines carry the text of an empty list, which needs no parsing.
+    """
     parsed = F.coalesce(
         F.from_json(text, LABEL_LIST),
         F.from_json(F.concat(F.lit("["), text, F.lit("]")), LABEL_LIST),
         F.array().cast(LABEL_LIST),
     )
-    return clean_labels(parsed)
+    return F.when(text == "[]", F.array().cast(LABEL_LIST)).otherwise(clean_labels(parsed))
 
 
 def clean_labels(labels: Column) -> Column:

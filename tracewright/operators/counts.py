@@ -108,7 +108,7 @@ def imbalance_overall(rows: DataFrame, vector: str = "label_vector") -> DataFram
 
 
 def imbalance_per_class(rows: DataFrame, vector: str = "label_vector", classes: str = "classes") -> DataFrame:
-    bits = rows.select(F.explode(F.arrays_zip(F.col(classes).alias("class"), F.col(vector).alias("bit"))).alias("z"))
+    bits = explode_values(rows, [], F.arrays_zip(F.col(classes).alias("class"), F.col(vector).alias("bit")), "z")
     positive = F.sum(F.col("z.bit").cast("bigint"))
     total = F.count("*")
     return bits.groupBy(F.col("z.class").alias("class")).agg(

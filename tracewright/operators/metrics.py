@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracewright.functions.numbers import fixed, safe_ratio
+from tracewright.operators.joining import explode_values
 from tracewright.operators.ranking import running_totals
 from tracewright.session import settle
 
@@ -25,7 +26,7 @@ def explode_cells(rows: DataFrame, classes: str = "classes", truth: str = "y_tru
                   row_id: str = "row_id") -> DataFrame:
     """Vector columns to one row per (row, class)."""
     cells = F.arrays_zip(F.col(classes).alias("class"), F.col(truth).alias("y_true"), F.col(pred).alias("y_pred"))
-    return rows.select(row_id, F.inline(cells))
+    return explode_values(rows, [row_id], cells, "z").select(row_id, "z.*")
 
 
 def confusion(cells: DataFrame, *keys: str) -> DataFrame:

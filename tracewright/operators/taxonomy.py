@@ -13,6 +13,7 @@ from tracewright.functions import labels as lb
 from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
 from tracewright.operators.clustering import distance_to_centroid, level_clusters
+from tracewright.operators.joining import explode_values
 from tracewright.session import settle
 
 # Level, node, parent and children in order.
@@ -145,8 +146,7 @@ def level_distribution(results: DataFrame, levels: int = 3) -> DataFrame:
     """(level, node, n_rows, coverage): predictions per level, missing levels as ``unknown``."""
     named = F.array(*[F.struct(F.lit(i).alias("level"), F.coalesce(F.get("path", F.lit(i)), F.lit("unknown")).alias("node"))
                       for i in range(levels)])
-    counts = (results.select(F.explode(named).alias("p")).groupBy("p.level", "p.node")
-              .agg(F.count("*").alias("n_rows")))
+    counts = explode_values(results, [], named, "p").groupBy("p.level", "p.node").agg(F.count("*").alias("n_rows"))
     totals = counts.groupBy("level").agg(
         (F.sum(F.when(F.col("node") != "unknown", F.col("n_rows")).otherwise(0)) / F.sum("n_rows")).alias("coverage"))
     return counts.join(totals, "level")

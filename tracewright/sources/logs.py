@@ -123,13 +123,20 @@ def label_files(lines: DataFrame) -> DataFrame:
 
 
 def parse_label_lines(lines: DataFrame, root: str) -> DataFrame:
-    """(rel_path, line_no, labels), one row per label; malformed lines dropped, last duplicate wins."""
+    """(rel_path, line_no, labels), one row per line; malformed lines dropped, last duplicate wins.
+
+    A single label in place of a list counts as a list of one, null as no label.
+    """
     keep = lines.join(_small(label_files(lines)), "file", "left_semi")
-    item = F.from_json("value", "line bigint, labels array<string>")
-    rows = (keep.select("file", "block", "pos", item.alias("item"))
-            .where("item.line is not null and item.labels is not null"))
-    last = rows.groupBy("file", F.col("item.line").alias("line_no")).agg(
-        F.max_by("item.labels", F.struct("block", "pos")).alias("labels"))
+    item = F.from_json("value", "line bigint, labels string")
+    rows = (keep.where(F.array_contains(F.json_object_keys("value"), "labels"))
+            .select("file", "block", "pos", item["line"].alias("line_no"), item["labels"].alias("text"))
+            .where(F.col("line_no").isNotNull()))
+    as_list = F.from_json("text", "array<string>")
+    named = (F.when(F.col("text").isNull(), F.array().cast("array<string>"))
+             .when(F.startswith("text", F.lit("[")), F.coalesce(as_list, F.array("text"))).otherwise(F.array("text")))
+    rows = rows.withColumn("labels", named)
+    last = rows.groupBy("file", "line_no").agg(F.max_by("labels", F.struct("block", "pos")).alias("labels"))
     return last.select(relative_path(F.col("file"), root, encoded=True).alias("rel_path"), "line_no", "labels")
 
 
