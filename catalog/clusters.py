@@ -48,20 +48,26 @@ def silhouette_by_k(spark, sf):
 EPS = 9.2
 
 
-@query("c03_dbscan", f"""WITH RECURSIVE {STD}, pr AS (SELECT a.row_id AS a, b.row_id AS b FROM sv a JOIN sv b ON list_distance(a.z, b.z) <= {EPS}),
+DENSE = f"""{STD}, pr AS (SELECT a.row_id AS a, b.row_id AS b FROM sv a JOIN sv b ON list_distance(a.z, b.z) <= {EPS}),
   core AS (SELECT a FROM pr GROUP BY a HAVING count(*) >= 3),
   ed AS (SELECT a, b FROM pr WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
   reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, e.b FROM reach r JOIN ed e ON r.b = e.a),
   comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
   lab AS (SELECT a AS row_id, c FROM comp UNION ALL SELECT p.a, min(c.c) FROM pr p JOIN comp c ON p.b = c.a WHERE p.a NOT IN (SELECT a FROM core) GROUP BY p.a),
-  num AS (SELECT c, (dense_rank() OVER (ORDER BY c) - 1)::INTEGER AS cluster FROM (SELECT DISTINCT c FROM lab))
-  SELECT v.row_id, coalesce(cluster, -1) AS cluster FROM vec v LEFT JOIN lab USING (row_id) LEFT JOIN num USING (c)""")
+  num AS (SELECT c, (dense_rank() OVER (ORDER BY c) - 1)::INTEGER AS cluster FROM (SELECT DISTINCT c FROM lab)),
+  got AS (SELECT row_id, cluster FROM lab JOIN num USING (c))"""
+
+
+@query("c03_dbscan", f"WITH RECURSIVE {DENSE} SELECT v.row_id, coalesce(cluster, -1) AS cluster FROM vec v LEFT JOIN got USING (row_id)")
 def dbscan(spark, sf):
     rows = settle(standardize(vectors(spark, sf), "vec"), "scaled")
     return cl.dbscan(rows, "scaled", EPS, 3, fill_noise=False).select("row_id", "cluster")
 
 
-@query("c03_dbscan_noise_filled")
+@query("c03_dbscan_noise_filled", f"""WITH RECURSIVE {DENSE}, far AS (SELECT n.row_id, g.cluster,
+    row_number() OVER (PARTITION BY n.row_id ORDER BY list_distance(n.z, o.z), o.row_id) AS rn
+    FROM sv n JOIN sv o ON n.row_id NOT IN (SELECT row_id FROM got) JOIN got g ON g.row_id = o.row_id)
+  SELECT row_id, cluster FROM got UNION ALL SELECT row_id, cluster FROM far WHERE rn = 1""")
 def dbscan_filled(spark, sf):
     rows = settle(standardize(vectors(spark, sf), "vec"), "scaled")
     return cl.dbscan(rows, "scaled", EPS, 3).select("row_id", "cluster")
