@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.llm import mixing, sharding, warc
-from tracewright.llm.common import columns, table
+from tracewright.llm import language_id, mixing, secret_scan, sharding, warc
+from tracewright.llm.common import columns, remainder_of_id, table
 from tracewright.session import new_path
 
 QUERIES: dict = {}
@@ -21,6 +21,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_secrets")
+def op1(spark, sf_dir):
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = written(F.filter("spans", lambda s: s["kind"] != "network"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query("op2_sharding")
 def op2(spark, sf_dir):
     docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -43,6 +53,14 @@ def op6(spark, sf_dir):
     return warc.read_archive(spark, path).drop("url")
 
 
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    held_out = remainder_of_id(F.col("doc_id"), 5) == 0
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 @query("op10_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
