@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.llm import language_id, mixing, secret_scan, sharding, warc
+from tracewright.llm import jaccard, language_id, mixing, secret_scan, sharding, warc
 from tracewright.llm.common import columns, remainder_of_id, table
 from tracewright.session import new_path
 
@@ -61,6 +61,11 @@ def op7(spark, sf_dir):
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+@query("op8_jaccard_join")
+def op8(spark, sf_dir):
+    return jaccard.set_groups(table(spark, sf_dir, "documents"), jaccard.Rule(words=4, percent=85))
+
+
 @query("op10_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
