@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.llm import jaccard, language_id, mixing, secret_scan, sharding, warc
+from tracewright.llm import graph_search, jaccard, language_id, mixing, secret_scan, sharding, warc
 from tracewright.llm.common import columns, remainder_of_id, table
 from tracewright.session import new_path
 
@@ -66,6 +66,12 @@ def op8(spark, sf_dir):
     return jaccard.set_groups(table(spark, sf_dir, "documents"), jaccard.Rule(words=4, percent=85))
 
 
+@query("op9_nearest")
+def op9(spark, sf_dir):
+    found = graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query("op10_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
