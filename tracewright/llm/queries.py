@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.llm import graph_search, jaccard, language_id, mixing, secret_scan, sharding, warc
+from tracewright.llm import graph_search, jaccard, language_id, leakage, mixing, secret_scan, sharding, warc
 from tracewright.llm.common import columns, remainder_of_id, table
 from tracewright.session import new_path
 
@@ -40,6 +40,11 @@ def op2(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_warc", """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
