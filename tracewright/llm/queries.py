@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.llm import graph_search, jaccard, language_id, leakage, mixing, secret_scan, sharding, warc
+from tracewright.llm import graph_search, jaccard, language_id, language_model, leakage, mixing, secret_scan, sharding, substrings, warc
 from tracewright.llm.common import columns, remainder_of_id, table
 from tracewright.session import new_path
 
@@ -40,11 +40,27 @@ def op2(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op3_repeated_bytes")
+def op3(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_language_model")
+def op5(spark, sf_dir):
+    docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text")
+    held_out = remainder_of_id(F.col("doc_id"), 7) == 2
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_model.score_texts(rows, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 @query("op6_warc", """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
