@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.session import settle
+
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,7 +35,6 @@ def remainder_of_id(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
@@ -131,3 +132,53 @@ def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
         if b > a:
             yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(batch.num_columns)],
                                              batch.schema.names)
+
+
+def _stars(rows: DataFrame, small: bool) -> DataFrame:
+    """Rows (a, b), sorted by a and then b, to the star of each a: every b, or with ``small`` also a, points to the smallest."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last_a = last_b = low = None
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            if not len(a):
+                continue
+            begin = np.concatenate(([a[0] != last_a], a[1:] != a[:-1]))
+            again = np.concatenate(([a[0] == last_a and b[0] == last_b], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+            place = np.maximum.accumulate(np.where(begin, np.arange(len(a)), -1))
+            smallest = np.where(place >= 0, np.minimum(a, b)[np.maximum(place, 0)], low if low is not None else 0)
+            last_a, last_b, low = a[-1], b[-1], smallest[-1]
+            x, m = b[~again], smallest[~again]
+            if small:
+                x, m = np.concatenate([x, a[begin]]), np.concatenate([m, smallest[begin]])
+            else:
+                keep = b[~again] > a[~again]
+                x, m = x[keep], m[keep]
+            x, m = x[x != m], m[x != m]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(m)], ["a", "b"])
+
+    return rows.repartition("a").sortWithinPartitions("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(id, component) of every node on an edge (a, b) to another node; the component is its smallest id.
+
+    The published alternation of large and small stars, each of them one sort
+    by node that streams over its neighbours, so a node with very many needs no
+    memory. A round is written to the shared folder; their number grows with
+    the logarithm of the size.
+    """
+    now, state = settle(edges.select("a", "b").where("a <> b"), "edges"), None
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = settle(_stars(_stars(both, False), True), "stars")
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == (mark["n"], mark["h"]):
+            break
+        state = mark["n"], mark["h"]
+    else:
+        raise RuntimeError("components did not settle")
+    ends = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return settle(now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(ends), "components")

@@ -2,9 +2,9 @@
 
 A set is a point whose coordinates count its shingles per hash group. Two sets
 of Jaccard similarity t differ in at most (1 - t) / (1 + t) of their summed
-sizes, R shingles, so if the coordinates are cut into more than R slabs, one
-slab at least agrees in full. Sets that agree on a slab meet through a shuffle
-on it; connected, they make small clusters. Inside a cluster a packed R-tree
+sizes, R shingles, so if the coordinates are cut into R + 1 + m slabs, more than
+m slabs agree in full. Sets that agree on a slab meet through a shuffle on it,
+and pairs that meet often enough are connected to small clusters. Inside a cluster a packed R-tree
 over the count vectors bounds the overlap with a box by summed coordinate
 minima, and pairs that pass are verified on the sets. The slabs go before the
 tree because boxes in so many dimensions would overlap across a whole corpus.
@@ -13,14 +13,13 @@ tree because boxes in so many dimensions would overlap across a whole corpus.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, exp
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, Rolling, columns, mix, slices, text_arrays, words_of
-from tracewright.operators.components import connected_components
+from tracewright.llm.common import LOWER, Rolling, columns, components, mix, slices, text_arrays, words_of
 from tracewright.operators.joining import lookup_join
 from tracewright.session import settle
 
@@ -29,6 +28,9 @@ GROUPS = 64
 BLOCK = 512
 HUBS = 16
 LEAF = 32
+# Sets on one slab whose pairs are counted; a slab with more is common and stands back for the others.
+COMMON = 16
+_SHIFT = 24
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _CLASS = np.uint64(0xA0761D6478BD642F)
 
@@ -50,11 +52,9 @@ class Rule:
         return out
 
     def slabs(self, low: int, high: int) -> tuple[int, int]:
-        """Number of slabs for pairs whose smaller set has low .. high - 1 shingles, and how many empty ones a set may leave out."""
+        """Number of slabs for pairs whose smaller set has low .. high - 1 shingles, and m, how many of them may go unused."""
         differ = (high - 1) * (100 - self.percent) // self.percent
-        if not differ:
-            return 1, 0
-        spare = 1 + ceil(1.5 * (differ + 2) * exp(-low / (differ + 2)))
+        spare = 1 + ceil(0.35 * differ) if differ else 0
         return differ + 1 + spare, spare
 
 
@@ -85,14 +85,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> np.ndarray:
+def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the slabs of one sorted set: its own size class, and the smaller classes it can link into.
 
-    Linked sets differ in at most R slabs, so of R + 1 + m slabs more than m
-    agree. A set with at most m empty slabs leaves these out, as some other slab
-    agrees too; a set with more of them gives their keys as well.
+    Beside each key stands its class and the set's slack, m less the light slabs
+    (none or one shingle). Linked sets agree on more than m slabs. A set
+    with slack 0 or more leaves its light slabs out: some other slab agrees, as
+    a light slab is light on both sides. A set without gives all its slabs.
     """
-    n, out = len(s), []
+    n, keys, info = len(s), [], []
     k = int(np.searchsorted(edges, n, side="right")) - 1
     mixed = mix(s ^ _CLASS)
     while k >= 0:
@@ -102,14 +103,20 @@ def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> np.ndarray:
         count, spare = rule.slabs(low, high)
         slab = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], slab[1:] != slab[:-1])))
+        size = np.diff(np.append(begin, n))
         tag = mix(np.array([k + 1], np.uint64))
-        out.append(mix(np.add.reduceat(mixed, begin) + slab[begin] * _STEP + tag))
-        if count - len(begin) > spare:
+        own = mix(np.add.reduceat(mixed, begin) + slab[begin] * _STEP + tag)
+        slack = spare - (count - int((size > 1).sum()))
+        if spare and slack >= 0:
+            own = own[size > 1]
+        elif count > len(begin):
             empty = np.ones(count, bool)
             empty[slab[begin].astype(np.int64)] = False
-            out.append(mix(np.flatnonzero(empty).astype(np.uint64) * _STEP + tag))
+            own = np.append(own, mix(np.flatnonzero(empty).astype(np.uint64) * _STEP + tag))
+        keys.append(own)
+        info.append(np.full(len(own), (k << _SHIFT) + max(slack, -1) + 1, np.int64))
         k -= 1
-    return np.concatenate(out)
+    return np.concatenate(keys), np.concatenate(info)
 
 
 def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -127,7 +134,7 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
                     edges = rule.edges(2 * most)
                 sums = [(int(s.sum()), int(mix(s + _STEP).sum())) if len(s) else (0, 0) for s in sets]
                 marks = mix(np.array(sums, np.uint64)).view(np.int64)
-                keys = [slab_keys(s, rule, edges).tobytes() if len(s) else b"" for s in sets]
+                keys = [b"".join(x.tobytes() for x in slab_keys(s, rule, edges)) if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]),
                                                   pa.array(marks[:, 1]), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
@@ -135,37 +142,109 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
     return settle(columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, keys binary"), "jaccard-sets")
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) from every set to the smallest one that agrees with it on a slab; nodes: (node, keys)."""
+def _pairs(node: np.ndarray, info: np.ndarray, begin: np.ndarray, count: np.ndarray):
+    """All pairs inside runs of at most COMMON rows."""
+    left, right = [], []
+    for g in range(2, COMMON + 1):
+        at = begin[count == g]
+        if len(at):
+            i, j = np.triu_indices(g, 1)
+            left.append((at[:, None] + i).ravel())
+            right.append((at[:, None] + j).ravel())
+    if not left:
+        return None
+    left, right = np.concatenate(left), np.concatenate(right)
+    other = node[left] != node[right]
+    left, right = left[other], right[other]
+    return node[left], node[right], info[left], info[right]
+
+
+def _meet(batches):
+    """From (key, node, info) sorted by key and node: a row (a, b, ia, ib) per pair on a slab, and for slabs with more
+    than COMMON sets a row (a, key, ia) per set."""
+    import pyarrow as pa
+
+    def pair_rows(found):
+        n = len(found[0])
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.nulls(n, pa.int64()), pa.array(found[2]), pa.array(found[3])], ["a", "b", "key", "ia", "ib"])
+
+    def common_rows(key, node, info):
+        n = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(key), pa.array(info), pa.nulls(n, pa.int64())], ["a", "b", "key", "ia", "ib"])
+
+    held = [np.zeros(0, np.int64)] * 3
+    common = None  # the key of a run that is known to be common and was passed on in part
+    for batch in batches:
+        key, node, info = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "node", "info")))
+        if not len(key):
+            continue
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(begin, len(key)))
+        over = (count > COMMON) | (key[begin] == common) if common is not None else count > COMMON
+        done = np.ones(len(begin), bool)
+        done[-1] = over[-1]  # the last run may go on
+        found = _pairs(node, info, begin[done & ~over], count[done & ~over])
+        if found is not None and len(found[0]):
+            yield pair_rows(found)
+        rows = np.repeat(over, count)
+        if rows.any():
+            yield common_rows(key[rows], node[rows], info[rows])
+        common = key[-1] if over[-1] else None
+        held = [np.zeros(0, np.int64)] * 3 if over[-1] else [x[begin[-1]:] for x in (key, node, info)]
+    if len(held[0]) > 1:
+        found = _pairs(held[1], held[2], np.array([0]), np.array([len(held[0])]))
+        if found is not None and len(found[0]):
+            yield pair_rows(found)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets that may link; nodes: (node, keys).
+
+    A pair must agree on more than m slabs. What is neither light nor common of
+    these it shares in slabs whose pairs are counted, so fewer meetings than
+    slack - common slabs + 1 rule it out. Sets with more common slabs than
+    slack also meet the others of this sort on their common slabs.
+    """
 
     def spread(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column("keys").to_pylist()
-            count = np.array([len(k) // 8 for k in keys], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)),
-                                              batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), count)))], ["key", "node"])
+            keys = [np.frombuffer(k, np.int64).reshape(2, -1) for k in batch.column("keys").to_pylist()]
+            both = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
+            at = pa.array(np.repeat(np.arange(len(keys)), [k.shape[1] for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), batch.column("node").take(at), pa.array(both[1])], ["key", "node", "info"])
 
-    def meet(batches):
+    def stars(batches):
         import pyarrow as pa
 
         last_key = last_first = None
         for batch in batches:
-            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            key, node = batch.column("key").to_numpy(), batch.column("a").to_numpy()
             if not len(key):
                 continue
-            begin = np.concatenate(([key[0] != last_key or last_first is None], key[1:] != key[:-1]))
+            begin = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
             place = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
             first = np.where(place >= 0, node[np.maximum(place, 0)], last_first if last_first is not None else 0)
             last_key, last_first = key[-1], first[-1]
             pairs = np.unique(np.stack([node, first], 1)[node != first], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    rows = nodes.select("node", "keys").mapInArrow(spread, "key bigint, node bigint")
-    met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a bigint, b bigint")
-    return settle(met.distinct(), "jaccard-cells")
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    rows = nodes.select("node", "keys").mapInArrow(spread, "key bigint, node bigint, info bigint")
+    met = settle(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a bigint, b bigint, key bigint, ia bigint, ib bigint"), "jaccard-met")
+    kind = lambda c: F.shiftright(c, _SHIFT)
+    slack = lambda c: F.col(c).bitwiseAND((1 << _SHIFT) - 1) - 1
+    common = met.where(F.col("b").isNull()).select("a", "key", kind("ia").alias("k"), slack("ia").alias("slack"))
+    count = settle(common.groupBy("a", "k").agg(F.count("*").alias("h"), F.min("slack").alias("slack")), "jaccard-common")
+    pairs = met.where(F.col("b").isNotNull()).groupBy("a", "b", kind("ia").alias("k")).agg(
+        F.count("*").alias("n"), F.min(slack("ia")).alias("sa"), F.min(slack("ib")).alias("sb"))
+    pairs = lookup_join(pairs, count.select("a", "k", F.col("h").alias("ha")), ["a", "k"], "left", row_bytes=48)
+    pairs = lookup_join(pairs, count.select(F.col("a").alias("b"), "k", F.col("h").alias("hb")), ["b", "k"], "left", row_bytes=48)
+    need = lambda s, h: F.col(s) - F.coalesce(F.col(h), F.lit(0))
+    pairs = pairs.where(F.col("n") > F.greatest(need("sa", "ha"), need("sb", "hb"), F.lit(0))).select("a", "b")
+    crowded = lookup_join(common, count.where("h > slack").select("a", "k"), ["a", "k"], "inner", row_bytes=32)
+    shared = crowded.select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(stars, "a bigint, b bigint")
+    return settle(pairs.unionByName(shared).distinct(), "jaccard-cells")
 
 
 def link_block(nodes: np.ndarray, labels: np.ndarray, probe: np.ndarray, base: np.ndarray, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
@@ -241,8 +320,7 @@ def set_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = lookup_join(table, settle(copies.drop("c"), "jaccard-copies"), ["f1", "f2"], "left", row_bytes=48)
     rows = rows.withColumn("node", F.coalesce("node", "doc_id"))
     nodes = rows.where((F.col("node") == F.col("doc_id")) & (F.col("n_shingles") > 0))
-    cells = _cells(nodes)
-    clusters = settle(connected_components(cells), "jaccard-clusters")
+    clusters = components(_candidates(nodes))
     sizes = settle(clusters.groupBy("component").agg(F.count("*").alias("c")), "jaccard-sizes")
     placed = settle(lookup_join(clusters, sizes, ["component"], "inner", row_bytes=32), "jaccard-placed")
     sets = settle(_sets_of(docs, placed.select(F.col("id").alias("doc_id"), "component", "c"), rule), "jaccard-members")
@@ -256,7 +334,7 @@ def set_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
               .select(F.concat_ws(":", "component", "block").alias("part"), "node", F.lit(True).alias("probe"), *flags))
     links = _verify(small.unionByName(spread), rule)
     links = settle(links.unionByName(_rest(sets.where(F.col("c") > BLOCK), links, rule)), "jaccard-all-links")
-    groups = connected_components(links).select(F.col("id").alias("node"), "component")
+    groups = components(links).select(F.col("id").alias("node"), "component")
     narrow = rows.select("doc_id", "n_shingles", "node")
     return lookup_join(narrow, settle(groups, "jaccard-groups"), ["node"], "left", row_bytes=32).select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
@@ -290,7 +368,7 @@ def _rest(large: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
     """Links of large clusters that are still in several groups: sets outside the largest group against all."""
     if large.limit(1).count() == 0:
         return links.limit(0)
-    groups = connected_components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
+    groups = components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
     marked = settle(lookup_join(large, settle(groups, "jaccard-part-groups"), ["node"], "left", row_bytes=32)
                     .withColumn("label", F.coalesce("label", "node")), "jaccard-large")
     counts = marked.groupBy("component", "label").agg(F.count("*").alias("n"))
