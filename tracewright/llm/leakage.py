@@ -387,8 +387,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
         latent = _latent(tokens, parts, idf, kind, min(s.rank, len(vocabulary)))
         found.append(_search(tokens, keep, parts, idf, latent, kind, item_type, s))
     if not found:
-        fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-        return spark.createDataFrame([], fields.add("item_id", item_type).add("common_words", "int").add("item_words", "int"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields)
+        return spark.createDataFrame([], f"{fields}, item_id {item_type}, common_words int, item_words int")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
