@@ -286,11 +286,8 @@ def union_embeddings(spark, sf):
 @query("u02_realigned_vectors", f"""WITH {EVENTS}, d AS (SELECT list(DISTINCT l ORDER BY l) AS classes FROM (SELECT unnest(labels) AS l FROM lab))
   SELECT row_id, log_type, array_to_string(list_transform(classes, lambda x: CAST(list_contains(labels, x) AS INTEGER)), '') AS bits FROM lab, d""")
 def realigned_vectors(spark, sf):
-    from tracewright.plans.features import realign
     e = labelled_events(spark, sf).select("row_id", "log_type", "labels")
-    typed = ct.attach_label_vectors(e, ct.class_lists_by(e))
-    parts = {t: typed.where(F.col("log_type") == t) for t in ["auth", "audit", "vpn", "wp-access", "wp-error"]}
-    return realign(parts).select("row_id", "log_type", F.array_join(F.col("label_vector").cast("array<string>"), "").alias("bits"))
+    return ct.attach_label_vectors(e, ct.class_list(e), None).select("row_id", "log_type", F.array_join(F.col("label_vector").cast("array<string>"), "").alias("bits"))
 
 
 RANKED = """r AS (SELECT {id} AS row_id, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY md5('42:' || {id}), {id}) AS rn,

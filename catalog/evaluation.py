@@ -187,6 +187,19 @@ def paired_t(spark, sf):
     return rounded(rounded(mt.paired_t(_metrics_by_type(spark, sf), "vpn", "wp-error"), "mean_gap"), "t_stat", digits=4)
 
 
+@query("e14_best_worst", f"""WITH {CELLS}, {METRICS}, r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, embedding_type) AS hi,
+    row_number() OVER (PARTITION BY metric ORDER BY value, embedding_type) AS lo FROM mm),
+  d AS (SELECT metric, b.embedding_type AS best_method, w.embedding_type AS worst_method, x.value - y.value AS g FROM r b JOIN r w USING (metric)
+    JOIN fm x ON x.metric = b.metric AND x.embedding_type = b.embedding_type JOIN fm y ON y.metric = b.metric AND y.embedding_type = w.embedding_type AND y.fold = x.fold
+    WHERE b.hi = 1 AND w.lo = 1),
+  s AS (SELECT metric, best_method, worst_method, avg(g) AS gap, avg(g) / (stddev_samp(g) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM d GROUP BY 1, 2, 3),
+  p AS (SELECT *, 1 - abs(sin(atan(t / 2)) * (1 + cos(atan(t / 2)) ** 2 / 2)) AS p FROM s)
+  SELECT metric, best_method, worst_method, round(gap, 6) AS mean_gap, round(t, 4) AS t_stat, df, round(p, 6) AS p_value, p < 0.05 AS significant FROM p WHERE df = 4""")
+def best_worst(spark, sf):
+    out = mt.best_against_worst(_metrics_by_type(spark, sf))
+    return rounded(rounded(out, "mean_gap", "p_value"), "t_stat", digits=4)
+
+
 @query("e15_bootstrap_f1")
 def bootstrap_f1(spark, sf):
     return mt.bootstrap_f1(event_cells(spark, sf))
@@ -235,11 +248,11 @@ def dashboard(spark, sf):
 
 
 @query("r04_t03_top_class_f1", f"""WITH {CELLS}, {RESULT}, f AS (SELECT embedding_type, class, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM tc),
-  r AS (SELECT *, row_number() OVER (PARTITION BY embedding_type ORDER BY f1 DESC, class) AS rank FROM f) SELECT embedding_type, class, f1, rank FROM r WHERE rank <= 3""")
+  r AS (SELECT *, row_number() OVER (PARTITION BY embedding_type ORDER BY f1 DESC, class) AS rank FROM f) SELECT embedding_type, class, f1, rank FROM r WHERE rank <= 5""")
 def top_class_f1(spark, sf):
     conf = mt.confusion(event_cells(spark, sf), "log_type", "class")
     f1 = conf.select(F.col("log_type").alias("embedding_type"), "class", F.round(mt.f1_of(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("f1"))
-    return rp.top_class_f1(f1, 3)
+    return rp.top_class_f1(f1)
 
 
 @query("r05_evaluation_report", f"""WITH {CELLS}, r AS (SELECT row_id, max(y_true) AS t, max(y_pred) AS p FROM cell GROUP BY 1),

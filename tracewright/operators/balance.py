@@ -19,7 +19,7 @@ from tracewright.functions.numbers import draw_key, draw_unit, hex_number
 from tracewright.operators.clustering import kmeans
 from tracewright.operators.joining import lookup_join
 from tracewright.operators.neighbors import nearest
-from tracewright.operators.ranking import draw_rank
+from tracewright.operators.ranking import draw_rank, exact_quantile
 from tracewright.operators.vector_stats import cluster_centroids, width_of
 from tracewright.session import settle
 
@@ -135,7 +135,7 @@ def adasyn(rows: DataFrame, k: int = 5, row_id: str = "row_id", vector: str = "v
     need = settle(deficits(points, label), "need")
     share = settle(_other_share(points, need, label, k), "share")
     total = share.groupBy(label).agg(F.sum("others").alias("total"))
-    weighted = share.join(total, label).join(need.select(label, "need"), label)
+    weighted = lookup_join(lookup_join(share, total, [label], "inner", row_bytes=64), need.select(label, "need"), [label], "inner", row_bytes=64)
     copies = F.coalesce(F.rint(F.col("others") * F.col("need") / F.nullif("total", F.lit(0))), F.lit(0)).cast("bigint")
     seeds = points.join(weighted.select("row_id", copies.alias("share_")), "row_id")
     near = settle(_same_class_neighbors(points, need, label, k), "near")
@@ -160,8 +160,8 @@ def svm_smote(rows: DataFrame, k: int = 5, share: float = 0.5, row_id: str = "ro
     margin = F.abs(F.get(vector_to_array("rawPrediction"), F.col("y_").cast("int")))
     scored = model.transform(data).select("row_id", "vec", label, margin.alias("margin"))
     scored = settle(scored.join(need.select(label), label, "left_semi"), "margin")
-    cuts = scored.groupBy(label).agg(F.percentile_approx("margin", share, 10_000).alias("cut"))
-    seeds = scored.join(cuts, label).where(F.col("margin") <= F.col("cut")).select("row_id", "vec", label)
+    cuts = exact_quantile(scored, "margin", share, [label]).withColumnRenamed("quantile", "cut")
+    seeds = lookup_join(scored, cuts, [label], "inner", row_bytes=64).where(F.col("margin") <= F.col("cut")).select("row_id", "vec", label)
     return _seeded(points, seeds, need, label, k, seed)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tracewright.functions import labels as lb
 from tracewright.functions.numbers import percentage, ratio_to_at_least_one, safe_ratio
-from tracewright.operators.joining import explode_values
+from tracewright.operators.joining import explode_values, lookup_join
 
 # Attack groups and the terms that put an attack type into them.
 ATTACK_GROUPS = [
@@ -45,13 +45,13 @@ def attach_label_vectors(rows: DataFrame, lists: DataFrame, key: str | None = "l
     """Add ``classes`` and the binary ``label_vector``.
 
     ``lists`` has one row per log type, or a single row when ``key`` is None;
-    the latter is attached as a scalar subquery. Spark broadcasts the per-type
-    table when its measured size allows it.
+    the latter is attached as a scalar subquery. The per-type table is measured
+    and broadcast, so rows aren't shuffled by type.
     """
     if key is None:
         joined = rows.withColumn("classes", lists.select("classes").scalar())
     else:
-        joined = rows.join(lists.select(key, "classes"), key, "left")
+        joined = lookup_join(rows, lists.select(key, "classes"), [key], "left")
     return joined.withColumn("label_vector", lb.label_vector(F.col("labels"), F.col("classes")))
 
 

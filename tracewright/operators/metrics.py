@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracewright.functions.numbers import fixed, safe_ratio
-from tracewright.operators.joining import explode_values
+from tracewright.operators.joining import explode_values, lookup_join
 from tracewright.operators.ranking import running_totals
 from tracewright.session import settle
 
@@ -109,7 +109,7 @@ def _cumulated(cells: DataFrame, keys: list[str]) -> DataFrame:
     totals = points.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     running = running_totals(points, keys, "score", ["pos", "neg"])
     if keys:
-        return running.join(totals, keys)
+        return lookup_join(running, totals, keys, "inner", row_bytes=64)
     return running.withColumn("t_", totals.select(F.struct("*")).scalar()).select(
         "*", F.col("t_.all_pos").alias("all_pos"), F.col("t_.all_neg").alias("all_neg")).drop("t_")
 
@@ -191,7 +191,7 @@ def youden_thresholds(cells: DataFrame) -> DataFrame:
 
 def apply_thresholds(cells: DataFrame, thresholds: DataFrame) -> DataFrame:
     """y_pred = score >= threshold of the class; one threshold row per class."""
-    return (cells.join(thresholds.select("class", "threshold"), "class")
+    return (lookup_join(cells, thresholds.select("class", "threshold"), ["class"], "inner", row_bytes=64)
             .withColumn("y_pred", (F.col("score") >= F.col("threshold")).cast("int")).drop("threshold"))
 
 
@@ -254,6 +254,46 @@ def paired_t(folds: DataFrame, first: str, second: str) -> DataFrame:
     return stats.select("metric", "mean_gap", t.alias("t_stat"), (F.col("n") - 1).alias("df"))
 
 
+def t_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t for a whole number of degrees of freedom (the closed finite sum)."""
+    t, n = t.cast("double"), df.cast("int")
+    angle = F.atan(t / F.sqrt(n))
+    cos2 = F.cos(angle) * F.cos(angle)
+    odd = n % 2 == 1
+    # Each term is the one before times cos^2 and a ratio of neighbouring numbers.
+    steps = F.when(n >= 4, F.sequence(F.when(odd, F.lit(3)).otherwise(F.lit(2)), n - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(a, i):
+        term = a["term"] * cos2 * (i - 1) / i
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    total = F.aggregate(steps, start, add, lambda a: a["sum"])
+    inside = F.when(n == 1, 2 * angle / F.pi()).when(
+        odd, 2 / F.pi() * (angle + F.sin(angle) * F.cos(angle) * total)).otherwise(F.sin(angle) * total)
+    return F.when(n >= 1, F.greatest(F.lit(0.0), 1 - F.abs(inside)))
+
+
+def best_against_worst(folds: DataFrame, level: float = 0.05) -> DataFrame:
+    """Per metric the methods with the highest and the lowest mean over folds, their paired t, its p-value and whether it is significant.
+
+    Ties go to the first name. Fold values are gathered per metric and method,
+    a few numbers each.
+    """
+    means = folds.groupBy("metric", "embedding_type").agg(
+        F.avg("value").alias("mean"), F.map_from_entries(F.collect_list(F.struct("fold", "value"))).alias("values"))
+    picked = means.groupBy("metric").agg(
+        F.min_by(F.struct("embedding_type", "values"), F.struct(-F.col("mean"), "embedding_type")).alias("best"),
+        F.min_by(F.struct("embedding_type", "values"), F.struct("mean", "embedding_type")).alias("worst"))
+    gaps = picked.select("metric", F.col("best.embedding_type").alias("best_method"), F.col("worst.embedding_type").alias("worst_method"),
+                         F.explode("best.values").alias("fold", "a"), F.col("worst.values").alias("w"))
+    stats = gaps.withColumn("gap", F.col("a") - F.col("w")[F.col("fold")]).where(F.col("gap").isNotNull()).groupBy(
+        "metric", "best_method", "worst_method").agg(F.avg("gap").alias("mean_gap"), F.stddev_samp("gap").alias("dev"), F.count("*").alias("n"))
+    t = F.col("mean_gap") / F.nullif(F.col("dev") / F.sqrt("n"), F.lit(0.0))
+    out = stats.select("metric", "best_method", "worst_method", "mean_gap", t.alias("t_stat"), (F.col("n") - 1).alias("df"))
+    return out.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("df"))).withColumn("significant", F.col("p_value") < level)
+
+
 def bootstrap_f1(cells: DataFrame, samples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(class, f1, low, high): percentile interval of F1 over resampled rows.
 

@@ -21,16 +21,18 @@ def _points(rows: DataFrame, row_id: str, vector: str, by: str | None) -> DataFr
 
 
 def distinct_vectors(points: DataFrame, keep: int) -> DataFrame:
-    """One row per (grp, vec) with its ``keep`` smallest ids and the number of copies.
+    """One row per (grp, vec) with its ``keep`` smallest ids and whether there are copies.
 
     A neighbour list of length ``keep`` can never use more ids of one vector,
     so however many copies exist, no more than that many are collected.
     """
     # The digest in front lets the sort settle on one number before it looks at the arrays.
     order = W.partitionBy("grp", "digest", "vec").orderBy("id")
-    first = points.withColumn("digest", F.xxhash64("vec")).withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= keep)
+    most = max(keep, 2)  # the second one tells that there are copies
+    first = points.withColumn("digest", F.xxhash64("vec")).withColumn("n_", F.row_number().over(order)).where(F.col("n_") <= most)
     ids = first.groupBy("grp", "digest", "vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return ids.select("grp", F.element_at("ids", 1).alias("id"), "vec", "ids")
+    return ids.select("grp", F.element_at("ids", 1).alias("id"), "vec", F.slice("ids", 1, keep).alias("ids"),
+                      (F.size("ids") > 1).alias("copies"))
 
 
 def _top_of_block(keep: int):
@@ -100,14 +102,14 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, row_id: str = "row_id",
     n_right = right.count()
     pivots = bk.pick_pivots(right, n_right, block_rows) if n_right > 8 * block_rows else None
     if same:
-        left = right.select("grp", "id", "vec", (F.size("ids") > 1).alias("copies"))
+        left = right.select("grp", "id", "vec", "copies")
     else:
         left = all_queries.groupBy("grp", "vec").agg(F.min("id").alias("id"), (F.count("*") > 1).alias("copies"))
         left = settle(left, "queries")
     reach = _reach_of_cells(right, pivots, keep) if pivots is not None and len(pivots) > 1 else float("inf")
     grp_type = right.schema["grp"].dataType.simpleString()
     schema = f"grp {grp_type}, id bigint, dists array<double>, ids array<bigint>"
-    parts = bk.pair_blocks(left.select("grp", "id", "vec"), right, _top_of_block(keep), schema, reach, pivots,
+    parts = bk.pair_blocks(left.select("grp", "id", "vec"), right.drop("copies"), _top_of_block(keep), schema, reach, pivots,
                            block_rows, local_bytes)
     flat = parts.select("grp", "id", F.inline(F.arrays_zip(F.col("dists").alias("distance"),
                                                            F.col("ids").alias("neighbor_id"))))

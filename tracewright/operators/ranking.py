@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracewright.functions.numbers import draw_key
+from tracewright.operators.joining import lookup_join
+from tracewright.session import settle
 
 # Hex digits of a draw key that name its bucket: 16**5 buckets, so a class of
 # 10**12 rows still has about a million rows per bucket.
@@ -125,3 +127,27 @@ def running_totals(points: DataFrame, group: list[str], order: str, sums: list[s
     for c in sums:
         joined = joined.withColumn(f"cum_{c}", F.col(f"b_{c}") + F.sum(c).over(inside))
     return joined.drop("at", *[f"b_{c}" for c in sums])
+
+
+def exact_quantile(rows: DataFrame, value: str, share: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, quantile): the least value that at least ``share`` of the values of a group don't exceed.
+
+    An approximate quantile on both sides brackets the place; only values in
+    between are put in order, and what lies below is counted. Nulls don't count.
+    """
+    keys = keys or []
+    slack, accuracy = 0.001, 10_000
+    points = settle(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v_")), "quantile")
+    low, high = (F.percentile_approx("v_", s, accuracy) for s in (max(0.0, share - slack), min(1.0, share + slack)))
+    marks = settle(points.groupBy(*keys).agg(low.alias("lo_"), high.alias("hi_"), F.count("*").alias("n_")), "quantile-marks")
+    one = F.lit(1)
+    points, marks = points.withColumn("k_", one), marks.withColumn("k_", one)
+    inside = lookup_join(points, marks, [*keys, "k_"], "inner", row_bytes=96)
+    counts = inside.groupBy(*keys, "n_").agg(F.count_if(F.col("v_") < F.col("lo_")).alias("below_"))
+    steps = inside.where((F.col("v_") >= F.col("lo_")) & (F.col("v_") <= F.col("hi_"))).groupBy(*keys, "v_").agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(W.partitionBy(*keys).orderBy("v_"))
+    steps = steps.withColumn("upto_", upto).withColumn("k_", one)
+    place = F.greatest(F.ceil(F.col("n_") * share), F.lit(1))
+    found = lookup_join(steps, counts.withColumn("k_", one), [*keys, "k_"], "inner", row_bytes=96)
+    found = found.where(F.col("below_") + F.col("upto_") >= place)
+    return found.groupBy(*keys).agg(F.min("v_").alias("quantile"))

@@ -14,6 +14,7 @@ from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
 from tracewright.operators.clustering import distance_to_centroid, level_clusters
 from tracewright.operators.joining import explode_values
+from tracewright.operators.ranking import exact_quantile
 from tracewright.session import settle
 
 # Level, node, parent and children in order.
@@ -208,7 +209,8 @@ def score_level(rows: DataFrame, model, vector: str, level: int) -> DataFrame:
 def outlier_cut(labelled: DataFrame, vector: str, share: float = 0.1) -> DataFrame:
     """Low percentile of an inlier score (minus the distance to the cluster centroid)."""
     scored = distance_to_centroid(labelled, "cluster", vector)
-    return scored.agg(F.percentile_approx(-F.col("outlier_score"), share, 10_000).alias("threshold"))
+    scored = scored.select((-F.col("outlier_score")).alias("inlier"))
+    return exact_quantile(scored, "inlier", share).select(F.col("quantile").alias("threshold"))
 
 
 def fit_predict(rows: DataFrame, vector: str, levels: int = 3, threshold: float = 0.5, nodes=NODES,

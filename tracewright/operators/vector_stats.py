@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import vectors as vc
+from tracewright.operators.ranking import exact_quantile
 
 
 def width_of(rows: DataFrame, vector: str) -> int:
@@ -22,10 +23,19 @@ WIDE = 64
 
 
 def mean_agg(vector: str, width: int) -> Column:
-    """Mean vector as an aggregate: partial aggregation per task, no explode."""
+    """Mean vector as an aggregate: partial aggregation per task, no explode.
+
+    At every width, entries that are null or beyond the end of a short vector
+    don't count, entries beyond ``width`` are left out, and a dimension without
+    any entry is null.
+    """
     if width > WIDE:
-        return vector_to_array(Summarizer.mean(array_to_vector(vc.as_doubles(F.col(vector)))))
-    return F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(width)])
+        entries = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col(vector), i).cast("double"))
+        values = F.transform(entries, lambda x: F.coalesce(x, F.lit(0.0)))
+        there = F.transform(entries, lambda x: x.isNotNull().cast("double"))
+        means = [vector_to_array(Summarizer.mean(array_to_vector(v))) for v in (values, there)]
+        return F.zip_with(*means, lambda s, n: s / F.nullif(n, F.lit(0.0)))
+    return F.array(*[F.avg(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(width)])
 
 
 def mean_vector(rows: DataFrame, vector: str, keys: list[str], width: int, name: str = "mean") -> DataFrame:
@@ -103,7 +113,7 @@ def reconstruction_scores(rows: DataFrame, vector: str, k: int, out: str = "scor
 
 
 def score_threshold(rows: DataFrame, score: str, share: float) -> DataFrame:
-    return rows.agg(F.percentile_approx(score, share, 10_000).alias("threshold"))
+    return exact_quantile(rows, score, share).select(F.col("quantile").alias("threshold"))
 
 
 def flag_anomalies(rows: DataFrame, score: str, threshold: float = 0.5) -> DataFrame:

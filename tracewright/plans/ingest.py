@@ -30,10 +30,11 @@ def labelled_logs(spark: SparkSession, logs_root: str, labels_root: str, by_name
     across folders instead. Files that do not look like text are left out.
     """
     raw = lg.scan_lines(spark, logs_root)
-    lines = lg.number_lines(raw, logs_root, strict_types).where(~tx.is_blank(F.col("value")))
+    blocks = lg.block_table(raw)
+    lines = lg.number_lines(raw, logs_root, strict_types, blocks).where(~tx.is_blank(F.col("value")))
     lines = lines.where(~tx.is_hidden(F.col("rel_path")))
     if probe_text:
-        lines = lines.join(lg.text_files(raw, logs_root), "rel_path", "left_semi")
+        lines = lines.join(lg.text_files(raw, logs_root, blocks=blocks), "rel_path", "left_semi")
     labels = lg.read_labels(spark, labels_root)
     if by_name:
         pairs = lg.match_label_files(lg.list_files(spark, logs_root), lg.list_files(spark, labels_root))

@@ -60,7 +60,9 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.is_settled = True
+    return out
 
 
 def clear_workspace(spark: SparkSession) -> bool:
