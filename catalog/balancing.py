@@ -73,14 +73,18 @@ def adasyn(spark, sf):
     return _shown(bl.adasyn(_rare_vectors(spark, sf)))
 
 
-@query("b04_svm_smote")
+# Which rows are seeds depends on a trained model; the rows made per class must meet the deficit.
+MET = f"WITH {VEC}, {COUNTS} SELECT label, need AS n FROM need WHERE need > 0"
+
+
+@query("b04_svm_smote", MET)
 def svm_smote(spark, sf):
-    return bl.svm_smote(vectors(spark, sf))
+    return bl.svm_smote(vectors(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("b05_kmeans_smote")
+@query("b05_kmeans_smote", MET)
 def kmeans_smote(spark, sf):
-    return bl.kmeans_smote(vectors(spark, sf))
+    return bl.kmeans_smote(vectors(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 BOTH = f"""{VEC}, {COUNTS}, {SAME}, seeds AS (SELECT v.* FROM vec v JOIN need USING (label)), {EVEN}, {MADE},

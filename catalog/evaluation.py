@@ -200,9 +200,11 @@ def best_worst(spark, sf):
     return rounded(rounded(out, "mean_gap", "p_value"), "t_stat", digits=4)
 
 
-@query("e15_bootstrap_f1")
+@query("e15_bootstrap_f1", f"WITH {CELLS} SELECT class, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, true AS interval_holds_it FROM conf")
 def bootstrap_f1(spark, sf):
-    return mt.bootstrap_f1(event_cells(spark, sf))
+    """The ends of the interval are drawn; that they lie on both sides is compared."""
+    out = mt.bootstrap_f1(event_cells(spark, sf))
+    return out.select("class", F.round("f1", 6).alias("f1"), ((F.col("low") <= F.col("f1")) & (F.col("f1") <= F.col("high"))).alias("interval_holds_it"))
 
 
 def _result_rows(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import EVENTS, event_vectors, labelled_events, vectors
+from catalog.inputs import EVENTS, VEC, event_vectors, labelled_events, vectors
 from catalog.registry import query
 from tracewright.operators import taxonomy as tn
 from tracewright.session import settle
@@ -130,7 +130,9 @@ def trained_paths(spark, sf):
     return out.select("row_id", "path", "final_prediction", "anomaly_score")
 
 
-@query("h06_outlier_cut")
+@query("h06_outlier_cut", f"""WITH {VEC}, u AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vec), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2),
+  c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1), s AS (SELECT -list_distance(vec, c) AS s FROM vec JOIN c USING (label)),
+  r AS (SELECT s, row_number() OVER (ORDER BY s) AS rn, count(*) OVER () AS n FROM s) SELECT round(s, 5) AS threshold FROM r WHERE rn = ceil(n * 0.1)""")
 def outlier_cut(spark, sf):
     rows = settle(vectors(spark, sf).withColumnRenamed("label", "cluster"), "rows")
-    return tn.outlier_cut(rows, "vec")
+    return tn.outlier_cut(rows, "vec").select(F.round("threshold", 5).alias("threshold"))

@@ -66,9 +66,10 @@ def subword_pool(spark, sf):
     return out.select("row_id", F.round(F.col("embedding").cast("array<double>")[0], 4).alias("m0"))
 
 
-@query("f03_trained_vectors")
+@query("f03_trained_vectors", f"WITH {TOKENS} SELECT token, 300 AS width FROM vocab")
 def trained_vectors(spark, sf):
-    return em.train_vectors(_tokens(spark, sf), width=16, min_count=20)
+    """Which tokens get a vector, and its width; the numbers in it depend on draws."""
+    return em.train_vectors(_tokens(spark, sf)).select("token", F.size("vec").alias("width"))
 
 
 @query("f05_label_embedding", f"""WITH {EVENTS}, w AS (SELECT DISTINCT unnest(labels) AS label FROM lab),
@@ -143,15 +144,18 @@ def standardized(spark, sf):
     return z.select("row_id", F.round(F.col("scaled")[0], 5).alias("z1"), F.round(vc.dot(F.col("scaled"), F.col("scaled")), 4).alias("energy"))
 
 
-@query("f12_projection")
+@query("f12_projection", f"WITH {VEC} SELECT row_id, 2 AS n_components, round(list_dot_product(vec, vec), 4) AS squared_length FROM vec")
 def projection(spark, sf):
-    return vs.project(vectors(spark, sf), "vec", 2).select("row_id", "projected")
+    """Signs of components are free; with all of them the squared length must stay."""
+    rows = vs.project(vectors(spark, sf), "vec", 2)
+    whole = vs.project(rows, "vec", WIDTH, "whole")
+    return whole.select("row_id", F.size("projected").alias("n_components"), F.round(vc.dot(F.col("whole"), F.col("whole")), 4).alias("squared_length"))
 
 
-@query("f13_v04_reconstruction_anomalies")
+@query("f13_v04_reconstruction_anomalies", "SELECT count(*) AS n_rows, count(*) - ceil(count(*) * 0.95)::BIGINT AS n_flagged, 0::BIGINT AS n_negative FROM embeddings")
 def reconstruction_anomalies(spark, sf):
-    scored = vs.reconstruction_scores(vectors(spark, sf), "vec", 8)
-    return vs.flag_above_share(scored, "score", 0.95).select("row_id", "score", "is_anomaly")
+    scored = vs.flag_above_share(vs.reconstruction_scores(vectors(spark, sf), "vec", 8), "score", 0.95)
+    return scored.agg(F.count("*").alias("n_rows"), F.sum("is_anomaly").alias("n_flagged"), F.count_if(F.col("score") < 0).alias("n_negative"))
 
 
 @query("a12_a14_class_means", f"""WITH {VEC}, u AS (SELECT label, row_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM vec),

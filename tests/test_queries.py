@@ -8,8 +8,7 @@ from tests.conftest import DATA, TABLES, table_of
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Model training; run by the checker and by hand, too slow for every test run.
-SLOW = {"h05_h09_trained_paths", "b09_balance_groups", "c02_silhouette_by_k", "b04_svm_smote", "v01_linear_cells",
-        "v02_a17_cross_validation", "c04_level_clusters"}
+SLOW = {"h05_h09_trained_paths", "b09_balance_groups", "v01_linear_cells", "v02_a17_cross_validation"}
 
 
 @pytest.fixture(scope="module")

@@ -46,15 +46,19 @@ def bisecting(rows: DataFrame, vector: str, k: int, out: str = "cluster", seed:
 
 def pseudo_labels(rows: DataFrame, vector: str, k: int | None = None, out: str = "cluster",
                   row_id: str = "row_id", seed: int = 42) -> DataFrame:
-    """K-means on standardized vectors; without ``k`` the number with the best silhouette is used."""
+    """K-means on standardized vectors; without ``k`` the number with the best (squared) silhouette is used."""
     scaled = settle(standardize(rows, vector, out="scaled_"), "scaled")
     k = k or best_k(scaled, "scaled_", row_id=row_id, seed=seed)
     return kmeans(scaled, "scaled_", k, out, seed).drop("scaled_")
 
 
 def silhouette_by_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str = "row_id",
-                    seed: int = 42) -> DataFrame:
-    """(k, silhouette) for k = 2 .. min(max_k, n / 10); all k share one pass over the distances."""
+                    seed: int = 42, exact: bool = False) -> DataFrame:
+    """(k, silhouette) for k = 2 .. min(max_k, n / 10).
+
+    The silhouette is that of squared distances, linear in the rows. ``exact``
+    takes plain distances: all k then share one pass over all pairs of rows.
+    """
     n = rows.count()
     ks = list(range(2, min(max_k, n // 10) + 1))
     if not ks:
@@ -64,12 +68,19 @@ def silhouette_by_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str =
         model = KMeans(k=k, seed=seed, featuresCol="features_", predictionCol=f"k{k}").fit(data)
         data = model.transform(data)
     labelled = settle(data.drop("features_"), "labelled")
+    if not exact:
+        parts = [silhouette_squared(labelled, vector, f"k{k}").select(F.lit(k).alias("k"), "silhouette") for k in ks]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     return silhouettes(labelled, vector, [f"k{k}" for k in ks], row_id).select(
         F.substring("labels", 2, 3).cast("int").alias("k"), "silhouette")
 
 
-def best_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str = "row_id", seed: int = 42) -> int:
-    best = silhouette_by_k(rows, vector, max_k, row_id, seed).orderBy(F.desc("silhouette"), "k").first()
+def best_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str = "row_id", seed: int = 42,
+           exact: bool = False) -> int:
+    best = silhouette_by_k(rows, vector, max_k, row_id, seed, exact).orderBy(F.desc("silhouette"), "k").first()
     return best["k"] if best else 2
 
 
