@@ -135,3 +135,12 @@ def balanced_table(spark, sf):
 def synthetic_quality(spark, sf):
     v = settle(vectors(spark, sf), "rows")
     return bl.synthetic_quality(v, settle(bl.smote(v), "made")).select(F.round("synthetic_quality", 5).alias("synthetic_quality"))
+
+
+@query("b11_b12_variants", f"""WITH {VEC}, {COUNTS}, t AS (SELECT sum(n)::BIGINT AS n, (SELECT coalesce(sum(need), 0)::BIGINT FROM need) AS made FROM cnt)
+  SELECT variant, n + made AS n_rows, made AS n_synthetic, true AS in_range FROM t, (VALUES ('smote'), ('svm_smote'), ('kmeans_smote')) v(variant)""")
+def variants(spark, sf):
+    """Variants that meet every deficit, with their quality and diversity in range."""
+    out = bl.balance_variants(vectors(spark, sf), ["smote", "svm_smote", "kmeans_smote"])
+    ok = (F.col("balance_improvement") > 0) & F.col("synthetic_quality").between(0, 1) & F.col("diversity_score").between(-1, 1)
+    return out.select("variant", "n_rows", "n_synthetic", ok.alias("in_range"))

@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 from tests.conftest import DATA, TABLES, table_of
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL
 # Model training; run by the checker and by hand, too slow for every test run.
 SLOW = {"h05_h09_trained_paths", "b09_balance_groups", "v01_linear_cells", "v02_a17_cross_validation"}
 
@@ -37,5 +38,9 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

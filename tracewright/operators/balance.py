@@ -16,11 +16,12 @@ from pyspark.sql.window import Window as W
 
 from tracewright.functions import vectors as vc
 from tracewright.functions.numbers import draw_key, draw_unit, hex_number
-from tracewright.operators.clustering import kmeans
+from tracewright.operators.clustering import kmeans, silhouette_squared
+from tracewright.operators.counts import balance_improvement
 from tracewright.operators.joining import lookup_join
 from tracewright.operators.neighbors import nearest
 from tracewright.operators.ranking import draw_rank, exact_quantile
-from tracewright.operators.vector_stats import cluster_centroids, width_of
+from tracewright.operators.vector_stats import cluster_centroids, project, width_of
 from tracewright.session import settle
 
 # Copies of one seed row are made in runs of this length, so a tiny class that
@@ -280,7 +281,7 @@ def balance(rows: DataFrame, variant: str = "smote", row_id: str = "row_id", vec
         # A variant that cannot place any row gives way to plain repetition.
         copies = random_oversample(rows, row_id, label, seed=seed)
         points = _points(rows, row_id, vector, label)
-        made = copies.join(points.select("row_id", "vec"), "row_id").withColumnRenamed("row_id", "seed_id")
+        made = lookup_join(copies, points.select("row_id", "vec"), ["row_id"], "inner", row_bytes=4096).withColumnRenamed("row_id", "seed_id")
     return with_synthetic(rows, made, **columns)
 
 
@@ -303,7 +304,8 @@ def balance_groups(rows: DataFrame, groups: DataFrame, classes: str = "classes",
                           lambda z: (z["b"] == 1) & F.array_contains(wanted, z["c"]))
         tagged = settle(now.withColumn("label", inside.cast("int")), "tagged")
         made = settle(VARIANTS[variant](tagged, seed=seed), "made")
-        made = made.join(tagged.select(F.col("row_id").alias("seed_id"), "classes", "label_vector"), "seed_id")
+        bits_of = tagged.select(F.col("row_id").alias("seed_id"), "classes", "label_vector")
+        made = lookup_join(made, bits_of, ["seed_id"], "inner", row_bytes=1024)
         # New ids follow the largest one in use.
         top = now.agg(F.max("row_id").alias("m")).first()["m"] or 0
         fresh = draw_rank(made, [], ["seed_id", "copy"], seed).select(
@@ -312,6 +314,30 @@ def balance_groups(rows: DataFrame, groups: DataFrame, classes: str = "classes",
     return now
 
 
+def diversity(rows: DataFrame, vector: str = "vec", label: str = "label") -> DataFrame:
+    """(diversity_score): silhouette of the classes after projection to two components, for squared distances."""
+    flat = settle(project(rows, vector, 2), "flat")
+    return silhouette_squared(flat, "projected", label).withColumnRenamed("silhouette", "diversity_score")
+
+
+def balance_variants(rows: DataFrame, variants: list[str], row_id: str = "row_id", vector: str = "vec",
+                     label: str = "label", seed: int = 42) -> DataFrame:
+    """One row per variant: rows, synthetic rows, balance_improvement, synthetic_quality and diversity_score of its table."""
+    points = _points(rows, row_id, vector, label)
+    parts = []
+    for variant in variants:
+        table = settle(balance(points, variant, label=label, seed=seed), "balanced")
+        made = table.where("is_synthetic").withColumnRenamed("row_id", "seed_id")
+        part = table.agg(F.lit(variant).alias("variant"), F.count("*").alias("n_rows"), F.count_if("is_synthetic").alias("n_synthetic"))
+        part = part.withColumn("balance_improvement", balance_improvement(points, table, label).select("balance_improvement").scalar())
+        part = part.withColumn("synthetic_quality", synthetic_quality(points, made).scalar())
+        parts.append(part.withColumn("diversity_score", diversity(table, label=label).scalar()))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def synthetic_quality(originals: DataFrame, synthetic: DataFrame, vector: str = "vec") -> DataFrame:
     """1 / (1 + mean distance from a synthetic row to its nearest original)."""
     made = settle(draw_rank(synthetic, [], ["seed_id", "copy"]).select(F.col("rank").alias("row_id"), vector), "made")

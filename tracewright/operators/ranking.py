@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracewright.functions.numbers import draw_key
-from tracewright.operators.joining import lookup_join
+from tracewright.operators.joining import BROADCAST_BYTES, lookup_join, measured_bytes
 from tracewright.session import settle
 
 # Hex digits of a draw key that name its bucket: 16**5 buckets, so a class of
@@ -32,6 +32,9 @@ def _bucketed(df: DataFrame, group: list[str], ids: list[str], seed: int, digits
     sizes = sizes.agg(F.count("*").alias("bucket_rows"))
     sizes = sizes.withColumn("rows_before", F.coalesce(F.sum("bucket_rows").over(_running(names, "in_bucket")), F.lit(0)))
     sizes = sizes.withColumn("group_rows", F.sum("bucket_rows").over(W.partitionBy(*names)))
+    if digits == CUT_DIGITS:  # the table needs no shuffle for anything else, so it isn't shuffled for this
+        sizes = settle(sizes, "bucket-sizes")
+        sizes = F.broadcast(sizes) if measured_bytes(sizes, 64) <= BROADCAST_BYTES else sizes
     same = F.col("bucket") == F.col("in_bucket")
     for c, n in zip(group, names):
         same = same & F.col(c).eqNullSafe(F.col(n))

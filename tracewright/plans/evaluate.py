@@ -14,7 +14,6 @@ from tracewright.operators import clustering as cl
 from tracewright.operators import counts as ct
 from tracewright.operators import models as md
 from tracewright.operators import taxonomy as tn
-from tracewright.operators import vector_stats as vs
 from tracewright.operators.ranking import draw_rank
 from tracewright.operators.reports import evaluation_report
 from tracewright.session import settle
@@ -47,8 +46,7 @@ def configuration_metrics(rows: DataFrame, vector: str = "vec", label: str = "la
     smote = ct.balance_improvement(pseudo, after).select("balance_improvement")
     if made.take(1):
         smote = smote.withColumn("synthetic_quality", bl.synthetic_quality(pseudo, made).scalar())
-        flat = settle(vs.project(after.withColumn("id", F.monotonically_increasing_id()), "vec", 2), "flat")
-        smote = smote.withColumn("diversity_score", cl.silhouette(flat, "projected", "label", row_id="id").scalar())
+        smote = smote.withColumn("diversity_score", bl.diversity(settle(after, "after")).scalar())
         add("smote", smote, ["balance_improvement", "synthetic_quality", "diversity_score"])
     else:
         add("smote", smote, ["balance_improvement"])
