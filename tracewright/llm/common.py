@@ -118,7 +118,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, np.searchsorted(start, offsets)
 
 
-def slices(batch, most_bytes: int = 8 << 20, column: str = "text"):
+def slices(batch, most_bytes: int = 1 << 20, column: str = "text"):
     """Cut an Arrow batch into pieces of about ``most_bytes`` of text (one row at least), so that arrays stay small."""
     import pyarrow as pa
     import pyarrow.compute as pc
