@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
-    CELLS, EVENTS, TREE, event_vectors, events, folder, labelled_events, log_tree, table, vectors)
+    CELLS, EVENTS, TREE, event_vectors, events, folder, labelled_events, log_tree, odd_tree, table, vectors)
 from catalog.registry import query
 from tracewright.functions import text as tx
 from tracewright.operators import checks as ck
@@ -56,6 +56,22 @@ def labelled_lines(spark, sf):
     return out.select(folder("rel_path").alias("folder"), "tenant", "line_no", F.array_join("labels", ",").alias("labels"))
 
 
+@query("r07_ingest_job", """WITH l AS (SELECT doc_id, lang, floor(doc_id / 1000)::BIGINT AS host, unnest(string_split(text, chr(10))) AS v,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE lang IS DISTINCT FROM 'de'),
+  p AS (SELECT *, CASE WHEN lang = 'fr' THEN 'fr/_kept' ELSE 'other/plain' END AS place FROM l),
+  n AS (SELECT place || '/host=' || host AS folder, v, row_number() OVER (PARTITION BY place, host ORDER BY doc_id, pos) AS line_no,
+    regexp_extract(v, '^(\\S+\\s+\\S+\\s+\\S+)', 1) AS h FROM p)
+  SELECT folder, split_part(folder, '/', 1) AS tenant, line_no, CASE WHEN h = '' THEN 'N/A' ELSE h END AS log_ts_text,
+    md5(regexp_replace(substr(v, length(h) + 1), '^\\s+|\\s+$', '', 'g')) AS message_digest, 0 AS n_labels
+  FROM n WHERE regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> ''""")
+def ingest_job(spark, sf):
+    """The ingestion plan as it stands: hidden folder read, binary files left out, no label files."""
+    root = odd_tree(spark, sf)
+    out = ingest.labelled_logs(spark, root, f"{root}/labels")
+    return out.select(folder("rel_path").alias("folder"), "tenant", "line_no", "log_ts_text", F.md5("message").alias("message_digest"),
+                      F.size("labels").alias("n_labels"))
+
+
 @query("j02_label_file_match", f"""WITH {EVENTS}, f AS (SELECT DISTINCT rel_path AS p, regexp_extract(rel_path, '[^/]*$') AS name,
     'lab/' || rel_path || CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.json' ELSE '.7' END AS lp FROM raw),
   l AS (SELECT DISTINCT p, regexp_replace(name, '\\.[^.]*$', '') AS stem, regexp_extract(name, '\\.[^.]*$') AS suf FROM f),

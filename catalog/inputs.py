@@ -170,6 +170,23 @@ def log_tree(spark: SparkSession, sf: str) -> tuple[str, str]:
     return _TREES[key]
 
 
+def odd_tree(spark: SparkSession, sf: str) -> str:
+    """Documents as gzipped logs by language: French below a folder whose name begins with _, German with a NUL in every line."""
+    key = (spark.sparkContext.applicationId, sf, "odd")
+    if key not in _TREES:
+        root = new_path(spark, "odd")
+        docs = table(spark, sf, "documents").withColumn("host", F.floor(F.col("doc_id") / 1000))
+        lines = docs.select("lang", "host", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
+        for place, mine in (("fr/_kept", F.col("lang") == "fr"), ("de/binary", F.col("lang") == "de"),
+                            ("other/plain", ~F.coalesce(F.col("lang").isin("fr", "de"), F.lit(False)))):
+            value = F.concat(F.lit("\0"), "value") if place.startswith("de") else F.col("value")
+            (lines.where(mine).repartition("host").sortWithinPartitions("host", "doc_id", "pos").select("host", value.alias("value"))
+             .write.partitionBy("host").option("compression", "gzip").text(f"{root}/{place}"))
+        lines.limit(0).select("value").write.text(f"{root}/labels")
+        _TREES[key] = root
+    return _TREES[key]
+
+
 def folder(path):
     """Folder of a relative path; the file names inside are chosen by the writer."""
     return F.regexp_replace(path, "/[^/]*$", "")
