@@ -160,7 +160,11 @@ def _batch(names, *arrays):
 
 def _decide(batches):
     """From stretches sorted by anchor and digest: spans of stretches that occur again in full (need -1), and for anchors
-    with several different stretches one of each (need 1 if it occurs once, else 0)."""
+    with several different stretches one of each (need 1 if it occurs once, else 0).
+
+    ``known`` is 1 for a stretch that stands for equal ones seen beside it, and
+    2 for those, which pass through.
+    """
     names = ["ah", "c1", "c2", "row", "start", "size", "off"]
     out = ["need", *names]
     held = None      # first row of the content that may go on: values, whether it was given out as repeated
@@ -168,9 +172,13 @@ def _decide(batches):
     several = None   # the anchor known to have several contents
     for batch in _and_end(batches):
         cols = [batch.column(c).to_numpy() for c in names] if batch is not None else [np.zeros(0, np.int64)] * 7
+        known = batch.column("known").to_numpy() if batch is not None else np.zeros(0, np.int8)
+        if (known == 2).any():
+            yield _batch(out, np.full(int((known == 2).sum()), -1, np.int8), *[c[known == 2] for c in cols])
+            cols, known = [c[known < 2] for c in cols], known[known < 2]
         given = False
         if held is not None:
-            cols = [np.concatenate(([h], c)) for h, c in zip(held[0], cols)]
+            cols, known = [np.concatenate(([h], c)) for h, c in zip(held[0], cols)], np.concatenate(([0], known))
             given = held[1]
         n = len(cols[0])
         if not n:
@@ -178,7 +186,7 @@ def _decide(batches):
         ah, c1, c2 = cols[:3]
         begin = np.flatnonzero(np.concatenate(([True], (ah[1:] != ah[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))))
         count = np.diff(np.append(begin, n))
-        again = count > 1
+        again = (count > 1) | np.logical_or.reduceat(known == 1, begin)
         if given:
             again[0] = True
         rows = np.repeat(again, count)
@@ -244,19 +252,27 @@ def repeated_spans(store: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 1 << 20, "packed"):
+            for part in slices(batch, 1 << 18, "packed"):
                 codec = pa.Codec("zstd")
                 size = part.column("n_bytes").to_numpy()
                 raw = [codec.decompress(p.as_buffer(), int(n), asbytes=True) if n else b"" for p, n in zip(part.column("packed"), size)]
                 data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(size)))
                 own, first, length, off, ah, c1, c2 = stretches(data, offsets)
-                if len(own):
-                    yield _batch(["ah", "c1", "c2", "row", "start", "size", "off"], ah.view(np.int64), c1.view(np.int64), c2.view(np.int64),
-                                 part.column("row").to_numpy()[own], (first - offsets[own]).astype(np.int64), length.astype(np.int64), off.astype(np.int64))
+                if not len(own):
+                    continue
+                # Equal stretches of this piece: the first stands for them, the others go anywhere.
+                order = np.lexsort((c2, c1, ah))
+                same = (ah[order[1:]] == ah[order[:-1]]) & (c1[order[1:]] == c1[order[:-1]]) & (c2[order[1:]] == c2[order[:-1]])
+                known = np.zeros(len(own), np.int8)
+                known[order[:-1][same]] = 1
+                known[order[1:][same]] = 2
+                deal = np.where(known == 2, mix(ah + (first.astype(np.uint64) << np.uint64(20))), ah)
+                yield _batch(["deal", "known", "ah", "c1", "c2", "row", "start", "size", "off"], deal.view(np.int64), known, ah.view(np.int64), c1.view(np.int64),
+                             c2.view(np.int64), part.column("row").to_numpy()[own], (first - offsets[own]).astype(np.int64), length.astype(np.int64), off.astype(np.int64))
 
     kinds = "ah bigint, c1 bigint, c2 bigint, row bigint, start bigint, size bigint, off bigint"
-    rows = store.select("row", "packed", "n_bytes").where(F.col("n_bytes") >= WINDOW).mapInArrow(cut, kinds)
-    marked = settle(rows.repartition("ah").sortWithinPartitions("ah", "c1", "c2", "row", "start").mapInArrow(_decide, f"need tinyint, {kinds}"), "suffix-stretches")
+    rows = store.select("row", "packed", "n_bytes").where(F.col("n_bytes") >= WINDOW).mapInArrow(cut, f"deal bigint, known tinyint, {kinds}")
+    marked = settle(rows.repartition("deal").sortWithinPartitions("ah", "c1", "c2", "row", "start").mapInArrow(_decide, f"need tinyint, {kinds}"), "suffix-stretches")
     whole = marked.where("need = -1").select("row", "start", (F.col("start") + F.col("size")).alias("stop"))
     open_ = marked.where("need >= 0")
     crowds = settle(open_.groupBy("ah").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("ah", F.lit(True).alias("crowd")), "suffix-crowds")
