@@ -88,10 +88,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the slabs of one sorted set: its own size class, and the smaller classes it can link into.
 
-    Beside each key stands its class and the set's slack, m less the light slabs
-    (none or one shingle). Linked sets agree on more than m slabs. A set
-    with slack 0 or more leaves its light slabs out: some other slab agrees, as
-    a light slab is light on both sides. A set without gives all its slabs.
+    Beside each key stands its class and the set's slack, m less the empty slabs.
+    Linked sets agree on more than m slabs. A set with slack 0 or more leaves
+    its empty slabs out: some other slab agrees, as one that agrees is empty on
+    both sides. A set without gives all its slabs.
     """
     n, keys, info = len(s), [], []
     k = int(np.searchsorted(edges, n, side="right")) - 1
@@ -103,13 +103,10 @@ def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray,
         count, spare = rule.slabs(low, high)
         slab = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], slab[1:] != slab[:-1])))
-        size = np.diff(np.append(begin, n))
         tag = mix(np.array([k + 1], np.uint64))
         own = mix(np.add.reduceat(mixed, begin) + slab[begin] * _STEP + tag)
-        slack = spare - (count - int((size > 1).sum()))
-        if spare and slack >= 0:
-            own = own[size > 1]
-        elif count > len(begin):
+        slack = spare - (count - len(begin))
+        if slack < 0:
             empty = np.ones(count, bool)
             empty[slab[begin].astype(np.int64)] = False
             own = np.append(own, mix(np.flatnonzero(empty).astype(np.uint64) * _STEP + tag))
@@ -200,7 +197,7 @@ def _meet(batches):
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets that may link; nodes: (node, keys).
 
-    A pair must agree on more than m slabs. What is neither light nor common of
+    A pair must agree on more than m slabs. What is neither empty nor common of
     these it shares in slabs whose pairs are counted, so fewer meetings than
     slack - common slabs + 1 rule it out. Sets with more common slabs than
     slack also meet the others of this sort on their common slabs.
@@ -372,13 +369,21 @@ def _rest(large: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:
     marked = settle(lookup_join(large, settle(groups, "jaccard-part-groups"), ["node"], "left", row_bytes=32)
                     .withColumn("label", F.coalesce("label", "node")), "jaccard-large")
     counts = marked.groupBy("component", "label").agg(F.count("*").alias("n"))
-    tops = counts.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("groups"), F.sum("n").alias("all"))
-    tops = settle(tops.where("groups > 1").select("component", F.col("top.label").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("outside")), "jaccard-tops")
+    tops = counts.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("groups"))
+    tops = settle(tops.where("groups > 1").select("component", F.col("top.label").alias("main")), "jaccard-tops")
     left = lookup_join(marked, tops, ["component"], "inner", row_bytes=48)
-    n_base, n_probe = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
-    base = left.withColumn("i", F.pmod(F.xxhash64("node"), n_base)).withColumn("j", F.explode(F.sequence(F.lit(0), n_probe - 1)))
-    probe = (left.where(F.col("label") != F.col("main")).withColumn("j", F.pmod(F.xxhash64("node"), n_probe))
-             .withColumn("i", F.explode(F.sequence(F.lit(0), n_base - 1))))
-    part = F.concat_ws(":", "component", "i", "j").alias("part")
+    # Sizes of linked sets differ by the similarity at most, so only neighbouring steps of size can link.
+    step = F.floor(F.log(F.octet_length("set") / 8) / float(np.log(100 / rule.percent) * (1 + 1e-9))).cast("int")
+    left = settle(left.withColumn("step", step).withColumn("out", F.col("label") != F.col("main")), "jaccard-left")
+    near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("at")
+    many = (left.select("component", near, F.lit(1).alias("b"), F.lit(0).alias("p"))
+            .unionByName(left.where("out").select("component", F.col("step").alias("at"), F.lit(0).alias("b"), F.lit(1).alias("p"))))
+    many = many.groupBy("component", "at").agg(F.sum("b").alias("b"), F.sum("p").alias("p")).where("p > 0")
+    many = settle(many.select("component", "at", F.ceil(F.col("b") / BLOCK).cast("int").alias("n_base"), F.ceil(F.col("p") / BLOCK).cast("int").alias("n_probe")), "jaccard-steps")
+    base = lookup_join(left.select("component", "node", "label", "set", near), many, ["component", "at"], "inner", row_bytes=48)
+    base = base.withColumn("i", F.pmod(F.xxhash64("node"), F.col("n_base"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_probe") - 1)))
+    probe = lookup_join(left.where("out").select("component", "node", "label", "set", F.col("step").alias("at")), many, ["component", "at"], "inner", row_bytes=48)
+    probe = probe.withColumn("j", F.pmod(F.xxhash64("node"), F.col("n_probe"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_base") - 1)))
+    part = F.concat_ws(":", "component", "at", "i", "j").alias("part")
     sides = [x.select(part, "node", "label", F.lit(p).alias("probe"), F.lit(not p).alias("base"), "set") for x, p in ((base, False), (probe, True))]
     return _verify(sides[0].unionByName(sides[1]), rule)
