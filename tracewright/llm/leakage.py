@@ -26,12 +26,14 @@ PART = 64
 @dataclass(frozen=True)
 class Settings:
     """rank: of the decomposition; cosine: least similarity of a candidate; share: of an item's words that must be found in
-    order; telling: share of its rarest words that must be found; items: items per block; least: shorter items (in
+    order; telling: share of its rarest words that must be found; near: share of an item's words, of 24 at most, that a candidate
+    passage must have in any order before it is checked; items: items per block; least: shorter items (in
     words) are never reported, those under 8 words only if found whole."""
-    rank: int = 64
+    rank: int = 96
     cosine: float = 0.5
     share: float = 0.7
     telling: float = 0.5
+    near: float = 0.45
     items: int = 1024
     least: int = 3
 
@@ -276,10 +278,11 @@ class Checker:
         key, mask = np.array(key, np.int64)[order], np.array(mask, np.uint64)[order]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         self.key, self.mask = key[begin], np.bitwise_or.reduceat(mask, begin)
-        self.dense = None
+        self.dense = self.held = None
         if len(items.words) * self.words <= 1 << 22:  # same answers, looked up faster
             self.dense = np.zeros(len(items.words) * self.words, np.uint64)
             self.dense[self.key] = self.mask
+            self.held = self.dense != 0
 
     def masks(self, part, word):
         key = part.astype(np.int64) * self.words + word
@@ -288,6 +291,19 @@ class Checker:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((word >= 0) & (self.key[at] == key), self.mask[at], np.uint64(0))
 
+    def near(self, part, flat, begin, end):
+        """Whether enough words of a passage (from ``begin``, 32 at most, up to ``end``) are in the part at all."""
+        count = np.zeros(len(part), np.int32)
+        base = part.astype(np.int64) * self.words
+        for t in range(2 * UNIT):
+            at = begin + t
+            word = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], -1)
+            if self.held is not None:
+                count += self.held[base + np.maximum(word, 0)] & (word >= 0)
+            else:
+                count += self.masks(part, word) != 0
+        return count >= self.s.near * np.minimum(self.length[part], 24)
+
     def common(self, part, flat, begin, end):
         """Length of the common subsequence, and the share of telling words seen."""
         v = np.full(len(part), 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -327,8 +343,11 @@ def _search(tokens: DataFrame, keep: list[str], items: Items, idf, latent, kind,
                 where, which = [], []
                 for i in range(0, len(passages), 2048):
                     x, y = np.nonzero(passages[i:i + 2048] @ targets >= s.cosine)
-                    where.append(x + i)
-                    which.append(y)
+                    x += i
+                    row = np.searchsorted(units, x, side="right") - 1
+                    near = checker.near(parts[y], flat, first[row] + (x - units[row]) * UNIT, first[row + 1])
+                    where.append(x[near])
+                    which.append(y[near])
                 where, which = np.concatenate(where), np.concatenate(which)
                 if not len(where):
                     continue
