@@ -147,14 +147,39 @@ def _cells(nodes: DataFrame, dim: int, n: int, s: Settings) -> DataFrame:
     return settle(out.withColumn("block", F.spark_partition_id() * 64 + F.col("leaf")), "graph-cells")
 
 
-def _merge(rows: DataFrame, n: int, keep: int, s: Settings) -> DataFrame:
-    """The nearest ``keep`` of all lists of each node."""
+PACKED = "home int, nodes binary, ids binary, dists binary"
+
+
+def _packed(node: np.ndarray, other: np.ndarray, dist: np.ndarray, homes: int) -> dict:
+    """Offers sorted by home, the block that keeps a node's list; one row for each home."""
+    import pyarrow as pa
+
+    home = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % homes
+    order = np.argsort(home, kind="stable")
+    home = home[order]
+    begin = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))) if len(home) else np.zeros(0, np.int64)
+    ends = np.append(begin[1:], len(home))
+    cut = lambda x, kind: pa.array([x[order][a:b].astype(kind).tobytes() for a, b in zip(begin, ends)], pa.binary())
+    return {"home": pa.array(home[begin].astype(np.int32), pa.int32()), "nodes": cut(node, np.int64), "ids": cut(other, np.int64), "dists": cut(dist, np.float32)}
+
+
+def _merge(lists: DataFrame, n: int, keep: int, s: Settings, offers: DataFrame | None = None) -> DataFrame:
+    """The nearest ``keep`` of all lists (node, ids, dists) and packed offers of each node."""
+    homes = max(1, -(-n // s.block))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(_packed(*_flat(batch), homes))
 
     def run(table):
-        return _lists(*_best(*_flat(table), keep))
+        node, other = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("nodes", "ids"))
+        return _lists(*_best(node, other, _stack(table.column("dists"), np.float32), keep))
 
-    blocks = max(1, -(-n // s.block))
-    return settle(rows.select("node", "ids", "dists").groupBy(F.pmod(F.xxhash64("node"), F.lit(blocks))).applyInArrow(run, LISTS), "graph-lists")
+    rows = lists.select("node", "ids", "dists").mapInArrow(pack, PACKED)
+    rows = rows if offers is None else rows.unionByName(offers)
+    return settle(rows.groupBy("home").applyInArrow(run, LISTS), "graph-lists")
 
 
 def _around(lists: DataFrame, n: int, reverse: int, s: Settings) -> DataFrame:
@@ -204,7 +229,11 @@ def _descend(lists: DataFrame, place: DataFrame, nodes: DataFrame, n: int, dim:
     last = lists.select("node", F.substring("dists", -4, 4).alias("worst"), (F.octet_length("dists") >= 4 * s.degree).alias("full"))
     fetched = _wanted(around, "block").join(nodes, "node").join(last, "node", "left")
 
+    homes = max(1, -(-n // s.block))
+
     def run(groups, vectors):
+        import pyarrow as pa
+
         ids = vectors.column("node").to_numpy()
         order = np.argsort(ids)
         ids = ids[order]
@@ -236,14 +265,13 @@ def _descend(lists: DataFrame, place: DataFrame, nodes: DataFrame, n: int, dim:
             ok = dist < worst[m][:, :, None]
             other = np.take_along_axis(np.broadcast_to(m[:, None, :], d.shape), near, 2)
             found.append(_best(np.broadcast_to(m[:, :, None], near.shape)[ok], other[ok], dist[ok], s.degree))
-        if not found:
-            return _lists(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        a, b, d = _best(*(np.concatenate(c) for c in zip(*found)), s.degree)
-        return _lists(ids[a], ids[b], d)
+        empty = np.zeros(0, np.int64)
+        a, b, d = _best(*(np.concatenate(c) for c in zip(*found)), s.degree) if found else (empty, empty, empty)
+        return pa.table(_packed(ids[a], ids[b], d, homes))
 
     offers = around.select("node", "members", "block").groupBy("block").cogroup(
-        fetched.select("block", "node", "vec", "worst", "full").groupBy("block")).applyInArrow(run, LISTS)
-    return _merge(lists.select("node", "ids", "dists").unionByName(offers), n, s.degree, s)
+        fetched.select("block", "node", "vec", "worst", "full").groupBy("block")).applyInArrow(run, PACKED)
+    return _merge(lists, n, s.degree, s, offers)
 
 
 def build_graph(nodes: DataFrame, dim: int, s: Settings = Settings()) -> DataFrame:
