@@ -166,6 +166,33 @@ def test_leaks(spark, docs, none):
     assert leakage.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_short_items(spark):
+    """Short items whole in documents that are made of benchmark words only."""
+    rng = random.Random(12)
+    pool = sorted({w for w in prose(rng, 300, "klmnopqrst").split() if len(w) > 2})
+    items = [(i, " ".join(rng.choice(pool) for _ in range(n))) for i, n in enumerate([3, 4, 5, 6, 7, 9, 12, 14, 16] * 6 + [20, 28, 31, 45, 59, 130] * 3)]
+    items += [(900, items[1][1]), (901, items[60][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    host = lambda n: [rng.choice(pool) for _ in range(n)]
+    rows, want, reworded = [], set(), set()
+    for i, text in items:
+        for j in range(4):
+            w = text.split()
+            if j == 3 and 9 <= len(w) <= 16:  # one word changed, and no copy left
+                w[len(w) // 2] = "qq"
+                reworded.add((10 * i + j, i))
+            elif j < 3:
+                want.add((10 * i + j, i))
+            rows.append((10 * i + j, " ".join(host(rng.randint(0, 70)) + w + host(rng.randint(0, 70)))))
+    want |= {(d, 900 if i == 1 else 901) for d, i in want if i in (1, 60)} | {(d, 1 if i == 900 else 60) for d, i in want if i in (900, 901)}
+    found = leakage.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in found}
+    assert len(got) == len(found) and want <= set(got)
+    assert all(got[k]["common_words"] == got[k]["item_words"] for k in want)
+    assert len(reworded & set(got)) >= 0.9 * len(reworded)
+    assert all(r["common_words"] == r["item_words"] for r in found if r["item_words"] < 8)
+
+
 # language model
 
 def test_scores(spark, docs, none):

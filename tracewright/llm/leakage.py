@@ -3,9 +3,11 @@
 Documents are written once as sequences of benchmark words. Their passages (32
 words, every 16) make a TF-IDF matrix over all documents; a randomised
 singular value decomposition, with one small sum per task, gives a latent
-space. Every passage is compared there with every item of a block by cosine.
-Candidates are checked by the longest common subsequence of item and document
-and by the item's telling words.
+space. Every passage is compared there with every item of a block by cosine;
+items of 16 words and fewer also with passages of their own size. Beside that,
+every place is looked up among the word sequences of the items, so whole copies
+don't depend on the cosine. Candidates are checked by the longest common
+subsequence of item and document and by the item's telling words.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ PART = 64
 
 @dataclass(frozen=True)
 class Settings:
-    """rank: of the decomposition; cosine: least similarity of a candidate; share: of an item's words that must be found in
+    """rank: of the decomposition; cosine: least similarity of a candidate, times the root of the share of a passage that the
+    item's words can fill; share: of an item's words that must be found in
     order; telling: share of its rarest words that must be found; near: share of an item's words, of 24 at most, that a candidate
     passage must have in any order before it is checked; items: items per block; least: shorter items (in
     words) are never reported, those under 8 words only if found whole."""
@@ -110,18 +113,22 @@ def block_items(rows: list) -> tuple[Vocabulary, Items]:
     return vocabulary, items
 
 
+def _starts(first: np.ndarray, unit: int) -> np.ndarray:
+    """The first unit of each document (n + 1)."""
+    return np.concatenate(([0], np.cumsum(-(-np.diff(first) // unit))))
+
+
 def _units(tokens: list[bytes], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word places of several documents, the first word of each (n + 1), and the first unit of each (n + 1)."""
     flat = np.frombuffer(b"".join(tokens), kind).astype(np.int32)
     first = np.concatenate(([0], np.cumsum([len(t) // np.dtype(kind).itemsize for t in tokens])))
-    units = np.concatenate(([0], np.cumsum(-(-np.diff(first) // UNIT))))
-    return flat, first, units
+    return flat, first, _starts(first, UNIT)
 
 
-def _sums(flat, first, units, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(flat, first, units, table, size=UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row sums of ``table`` over the known words of each unit, and the known words with their units."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    unit = units[row] + (np.arange(len(flat)) - first[row]) // UNIT
+    unit = units[row] + (np.arange(len(flat)) - first[row]) // size
     known = flat >= 0
     word, unit = flat[known], unit[known]
     out = np.zeros((units[-1], table.shape[1]), np.float32)
@@ -291,11 +298,11 @@ class Checker:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((word >= 0) & (self.key[at] == key), self.mask[at], np.uint64(0))
 
-    def near(self, part, flat, begin, end):
-        """Whether enough words of a passage (from ``begin``, 32 at most, up to ``end``) are in the part at all."""
+    def near(self, part, flat, begin, end, width=2 * UNIT):
+        """Whether enough words of a passage (from ``begin``, ``width`` at most, up to ``end``) are in the part at all."""
         count = np.zeros(len(part), np.int32)
         base = part.astype(np.int64) * self.words
-        for t in range(2 * UNIT):
+        for t in range(width):
             at = begin + t
             word = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], -1)
             if self.held is not None:
@@ -323,41 +330,98 @@ class Checker:
         return (n >= self.s.least) & (found >= need) & (told >= self.s.telling)
 
 
-def _search(tokens: DataFrame, keep: list[str], items: Items, idf, latent, kind, item_type: str, s: Settings) -> DataFrame:
+class Sequences:
+    """The word sequences of all parts that can be reported, by hash."""
+
+    def __init__(self, items: Items, least: int):
+        flat, first, _ = _units([w.astype(np.int32).tobytes() for w in items.words], np.int32)
+        rolling, size = Rolling(flat + 1), np.diff(first)
+        part = np.flatnonzero(size >= least)
+        self.sizes = np.unique(size[part])
+        self.head = int(min(self.sizes.min(initial=8), 8))
+        self.heads = Vocabulary(rolling.of(first[part], first[part] + self.head))
+        whole = rolling.of(first[part], first[part + 1])
+        self.whole = Vocabulary(whole)
+        place = self.whole.find(whole)
+        order = np.argsort(place, kind="stable")
+        self.parts, self.first = part[order], np.searchsorted(place[order], np.arange(len(self.whole) + 1))
+
+    def find(self, flat, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, part and place of the sequences found, each once a document."""
+        none = np.zeros(0, np.int64)
+        if not len(self.sizes):
+            return none, none, none
+        rolling = Rolling(flat + 1)
+        at = np.flatnonzero(self.heads.find(rolling.windows(self.head)) >= 0)
+        row = np.searchsorted(first, at, side="right") - 1
+        rows, which, places = [none], [none], [none]
+        for size in self.sizes.tolist():
+            fits = at + size <= first[row + 1]
+            x, y = at[fits], row[fits]
+            found = self.whole.find(rolling.of(x, x + size))
+            x, y, found = x[found >= 0], y[found >= 0], found[found >= 0].astype(np.int64)
+            _, one = np.unique(y * len(self.whole) + found, return_index=True)
+            rows.append(y[one]), which.append(found[one]), places.append(x[one])
+        row, which, place = np.concatenate(rows), np.concatenate(which), np.concatenate(places)
+        copies = self.first[which + 1] - self.first[which]
+        nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        return np.repeat(row, copies), self.parts[np.repeat(self.first[which], copies) + nth], np.repeat(place, copies)
+
+
+def _targets(items: Items, latent: np.ndarray, s: Settings) -> list:
+    """(unit, directions, least cosine, part, offset) of the items' passages, for each size of passage.
+
+    An item of n words can't fill more than about n of the w words of a passage, so the cosine asked for is scaled by the root of n / w.
+    """
     flat, first, units = _units([w.astype(np.int32).tobytes() for w in items.words], np.int32)
-    sums, _, _ = _sums(flat, first, units, latent)
-    both = _passages(sums, units)
-    at = units[np.array(items.part)] + np.array(items.offset) // UNIT
-    shared = tokens.sparkSession.sparkContext.broadcast((latent, _unit_rows(both[at]).T.copy(), np.array(items.part), np.array(items.offset), items.ids, Checker(items, idf, s)))
+    part, offset, size = np.array(items.part), np.array(items.offset), np.diff(first)
+    both = _passages(_sums(flat, first, units, latent)[0], units)[units[part] + offset // UNIT]
+    bar = lambda n, unit: (s.cosine * np.sqrt(np.minimum(n / (2 * unit), 1))).astype(np.float32)
+    out = [(UNIT, _unit_rows(both).T.copy(), bar(size[part] - offset, UNIT), part, offset)]
+    unit = UNIT // 2
+    while unit:
+        part = np.flatnonzero((size > unit) & (size <= 2 * unit) & (size >= s.least))
+        if len(part):
+            units = _starts(first, unit)
+            both = _passages(_sums(flat, first, units, latent, unit)[0], units)[units[part]]
+            out.append((unit, _unit_rows(both).T.copy(), bar(size[part], unit), part, np.zeros(len(part), np.int64)))
+        unit //= 2
+    return out
+
+
+def _search(tokens: DataFrame, keep: list[str], items: Items, idf, latent, kind, item_type: str, s: Settings) -> DataFrame:
+    shared = tokens.sparkSession.sparkContext.broadcast((latent, _targets(items, latent, s), Sequences(items, s.least), items.ids, Checker(items, idf, s)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields[:-1])
 
     def run(batches):
         import pyarrow as pa
 
-        latent, targets, parts, offsets, ids, checker = shared.value
+        latent, targets, sequences, ids, checker = shared.value
         for batch in batches:
             for a, b, flat, first, units in _pieces(batch, kind):
                 if not len(flat):
                     continue
-                passages = _unit_rows(_passages(_sums(flat, first, units, latent)[0], units))
-                where, which = [], []
-                for i in range(0, len(passages), 2048):
-                    x, y = np.nonzero(passages[i:i + 2048] @ targets >= s.cosine)
-                    x += i
-                    row = np.searchsorted(units, x, side="right") - 1
-                    near = checker.near(parts[y], flat, first[row] + (x - units[row]) * UNIT, first[row + 1])
-                    where.append(x[near])
-                    which.append(y[near])
-                where, which = np.concatenate(where), np.concatenate(which)
-                if not len(where):
-                    continue
-                row = np.searchsorted(units, where, side="right") - 1
-                part = parts[which]
-                begin = first[row] + np.maximum((where - units[row] - 1) * UNIT - offsets[which], 0)
-                end = np.minimum(begin + checker.length[part] + 3 * UNIT, first[row + 1])
+                row, part, begin = sequences.find(flat, first)
+                begin = begin.astype(np.int64)
+                checks = [np.stack([row, part, begin, begin + checker.length[part]], 1)]
+                for unit, goals, bar, parts, offsets in targets:
+                    units = _starts(first, unit)
+                    passages = _unit_rows(_passages(_sums(flat, first, units, latent, unit)[0], units))
+                    for i in range(0, len(passages), 2048):
+                        x, y = np.nonzero(passages[i:i + 2048] @ goals >= bar)
+                        x += i
+                        row = np.searchsorted(units, x, side="right") - 1
+                        near = checker.near(parts[y], flat, first[row] + (x - units[row]) * unit, first[row + 1], 2 * unit)
+                        x, y, row = x[near], y[near], row[near]
+                        part = parts[y]
+                        back = unit if unit == UNIT else 2 * unit
+                        begin = first[row] + np.maximum((x - units[row]) * unit - back - offsets[y], 0)
+                        end = np.minimum(begin + checker.length[part] + 3 * UNIT, first[row + 1])
+                        checks.append(np.stack([row, part, begin, end], 1))
                 # Candidates of one part with one beginning are one check.
-                one = np.unique(np.stack([row, part, begin, end], 1), axis=0)
-                row, part, begin, end = one.T
+                row, part, begin, end = np.unique(np.concatenate(checks), axis=0).T
+                if not len(row):
+                    continue
                 found, told = checker.common(part, flat, begin, end)
                 good = checker.passes(part, found, told)
                 best = {}
@@ -381,7 +445,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
 
     ``docs`` has text, ``benchmark`` has item_id (a number, or else text) and
     text. An item of over 64 words is leaked if one of its equal parts is; counts
-    are those of the part found best. Items go in blocks of 1024 against all
+    are those of the part found best. A part that stands in a document word
+    for word is always found; others are if a passage is near enough in the
+    latent space. Items go in blocks of 1024 against all
     passages of all documents; what is collected and broadcast is bounded by
     the words of a block.
 
