@@ -238,6 +238,34 @@ def test_probabilities_sum_to_one_and_look_back_only():
     assert len(scores(text)) == len(text) + 1
 
 
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [(i, prose(rng, rng.randint(5, 60))) for i in range(300)] + [(1000 + i, "one and the same text " * 4) for i in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    ranks = language_model.read_ranks()
+    end = max(ranks.values()) + 1
+    rows = language_model.encoded(docs, F.col("doc_id") % 7 != 2, ["doc_id"], ranks)
+    counts = language_model.id_counts(rows, end + 1)
+    groups = -(-int(counts.sum()) // 3000)
+    packed = language_model.training_groups(rows, ["doc_id"], groups).collect()
+    trained = np.zeros(end + 1, np.int64)
+    for r in packed:
+        trained += np.bincount(np.frombuffer(r["ids"], np.uint16), minlength=end + 1)
+        trained[end] += len(r["sizes"]) // 8
+    assert groups > 5 and len(packed) == groups and (trained == counts).all()
+    assert max(len(r["sizes"]) // 8 for r in packed) < 150  # copies are spread
+    seen = []
+    one = language_model.train_round
+    monkeypatch.setattr(language_model, "train_round", lambda net, rows, *a: (seen.extend(r["group"] for r in rows.select("group").collect()), one(net, rows, *a))[1])
+    few = language_model.score_texts(docs, F.col("doc_id") % 7 != 2, group=3000).collect()
+    assert sorted(seen) == list(range(groups)) and all(math.isfinite(r["score"]) for r in few)
+    # classes come from the neighbours in all documents
+    often = language_model.often_ids(counts)
+    flat = np.concatenate([np.append(end, np.frombuffer(r["ids"], np.uint16)) for r in rows.where("__train").collect()] + [[end]]).astype(np.int64)
+    assert (language_model.neighbour_counts(rows.repartition(3), often, end + 1).sum(axis=1) >= 1).all()
+    assert abs(int(language_model.neighbour_counts(rows, often, end + 1).sum()) - int(language_model.profiles_of(flat, often, end + 1).sum())) <= 8
+
+
 # archives
 
 def test_archive_round_trip(spark):
