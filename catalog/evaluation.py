@@ -306,12 +306,12 @@ def linear_cells(spark, sf):
 
 @query("v03_forest_detection")
 def forest_detection(spark, sf):
-    return md.forest_evaluation(_binary_vectors(spark, sf), trees=20)
+    return md.forest_evaluation(_binary_vectors(spark, sf))
 
 
 @query("v02_a17_cross_validation")
 def cross_validation(spark, sf):
-    scores = md.cross_validate(_binary_vectors(spark, sf), k=3, trees=10)
+    scores = md.cross_validate(_binary_vectors(spark, sf))
     return mt.fold_summary(scores)
 
 

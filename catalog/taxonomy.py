@@ -124,9 +124,9 @@ def level_hit_rate(spark, sf):
 
 @query("h05_h09_trained_paths")
 def trained_paths(spark, sf):
-    """Train all levels on the vectors and predict; a smaller network than the default keeps the check short."""
+    """Train all levels on the vectors and predict."""
     rows = settle(vectors(spark, sf).select("row_id", "vec"), "rows")
-    out = tn.fit_predict(rows, "vec", hidden=(32, 16), epochs=20)
+    out = tn.fit_predict(rows, "vec")
     return out.select("row_id", "path", "final_prediction", "anomaly_score")
 
 

@@ -27,7 +27,7 @@ def _tokens(spark, sf):
 
 
 def _vocab(rows):
-    return em.hashed_vectors(em.vocabulary_counts(rows, min_count=5), 8)
+    return em.hashed_vectors(em.vocabulary_counts(rows, min_count=5), 300)
 
 
 @query("f01_x03_tokens", f"WITH {TOKENS} SELECT row_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM tok")
@@ -46,7 +46,7 @@ def vocabulary_counts(spark, sf):
   FROM tok t LEFT JOIN p USING (row_id) GROUP BY 1""")
 def mean_pool(spark, sf):
     rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
-    out = em.mean_pool(rows, _vocab(rows), 8)
+    out = em.mean_pool(rows, _vocab(rows), 300)
     v = F.col("embedding").cast("array<double>")
     return out.select("row_id", F.round(v[0], 4).alias("m0"), F.round(v[7], 4).alias("m7"))
 
@@ -61,8 +61,8 @@ def mean_pool(spark, sf):
   SELECT row_id, coalesce(round(m, 4), 0) AS m0 FROM tok LEFT JOIN p USING (row_id)""")
 def subword_pool(spark, sf):
     rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
-    buckets = em.hashed_vectors(spark.range(1000).select(F.col("id").cast("int").alias("bucket")), 8, "bucket")
-    out = em.subword_pool(rows, _vocab(rows), buckets, 1000, 8)
+    buckets = em.hashed_vectors(spark.range(1000).select(F.col("id").cast("int").alias("bucket")), 300, "bucket")
+    out = em.subword_pool(rows, _vocab(rows), buckets, 1000, 300)
     return out.select("row_id", F.round(F.col("embedding").cast("array<double>")[0], 4).alias("m0"))
 
 

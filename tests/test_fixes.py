@@ -86,3 +86,38 @@ def test_trees_with_hidden_names(spark, tmp_path):
     write("a/b/_y.log", "lost\n")
     with pytest.raises(ValueError, match="_y.log"):
         lg.read_log_lines(spark, str(tmp_path))
+
+
+def test_registered_models_have_the_operators_sizes(spark, monkeypatch):
+    """Networks, forests, folds and vectors of the registered queries are as large as the operators' defaults."""
+    import inspect
+
+    from catalog import QUERIES
+    from tests.conftest import DATA
+    from tracewright.operators import embedding, models, taxonomy
+
+    class Called(Exception):
+        pass
+
+    def sizes(module, name, query):
+        signature = inspect.signature(getattr(module, name))
+
+        def call(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            raise Called(bound.arguments)
+
+        monkeypatch.setattr(module, name, call)
+        with pytest.raises(Called) as caught:
+            QUERIES[query](spark, DATA)
+        monkeypatch.undo()
+        return caught.value.args[0]
+
+    paths = sizes(taxonomy, "fit_predict", "h05_h09_trained_paths")
+    assert (paths["hidden"], paths["epochs"]) == ((256, 128, 64), 50)
+    assert sizes(models, "forest_evaluation", "v03_forest_detection")["trees"] == 100
+    folds = sizes(models, "cross_validate", "v02_a17_cross_validation")
+    assert (folds["k"], folds["trees"]) == (5, 100)
+    for name, query in (("mean_pool", "f02_j04_mean_pool"), ("subword_pool", "f04_subword_pool")):
+        pooled = sizes(embedding, name, query)
+        assert pooled["width"] == 300 and len(pooled["vocab"].select("vec").first()["vec"]) == 300
