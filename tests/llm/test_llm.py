@@ -466,6 +466,28 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert set(ids["mixing"]) <= set(ids["decontamination"]) and Counter(ids["sharding"]) == Counter(ids["mixing"])
 
 
+def test_only_texts_decide_about_copies(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = d + " zz"
+    rows = [(7, a), (7, b), (7, b), (None, c), (None, c), (None, d), (None, near), (3, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert kept in (sorted([(3, a), (7, b), (0, c), (0, d)]), sorted([(3, a), (7, b), (0, c), (0, near)]))
+
+
+def test_guesses_above_chance_stay(spark, monkeypatch):
+    class Model:
+        langs = ["de", "en", "es", "fr"]
+
+    told = {"half sure": 0.3, "sure": 0.9, "chance": 0.25}
+    monkeypatch.setattr(corpus_pipeline.language_id, "fit", lambda *a: Model)
+    monkeypatch.setattr(corpus_pipeline.language_id, "identify", lambda df, model: df.withColumn("lang_pred", F.lit("en")).withColumn(
+        "score", F.create_map(*[F.lit(x) for pair in told.items() for x in pair])[F.col("text")]))
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id bigint, text string")
+    assert {r["text"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {"half sure", "sure"}
+
+
 @pytest.mark.parametrize("crc", [(5, 0), (7, 2)])
 def test_remainder_of_id(spark, crc):
     from tracewright.llm.common import remainder_of_id
