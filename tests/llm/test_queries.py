@@ -13,11 +13,14 @@ COLUMNS = {
     "op6_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op7_language_id": "doc_id held_out lang_pred score",
     "op10_mixing": "doc_id size source_size target taken",
+    "op11_lexical_search": "item_id rank doc_id score",
+    "op12_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
-def test_all_ten_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_there():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 

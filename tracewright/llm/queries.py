@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.llm import graph_search, jaccard, language_id, language_model, leakage, mixing, secret_scan, sharding, substrings, warc
-from tracewright.llm.common import columns, remainder_of_id, table
+from tracewright.llm import (graph_search, jaccard, language_id, language_model, leakage, lexical_search, mixing, packing, periodic_runs,
+                             secret_scan, sharding, substrings, warc)
+from tracewright.llm.common import WORD, columns, remainder_of_id, table
 from tracewright.session import new_path
 
 QUERIES: dict = {}
@@ -122,3 +123,59 @@ FROM q LEFT JOIN n ON q.doc_id = n.doc_id AND q.key = n.key""")
 def op10(spark, sf_dir):
     docs = columns(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_lexical_search", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark),
+s AS (SELECT count(*) AS total, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+q AS (SELECT item, term, count(*) AS repeats FROM (SELECT item, unnest(ts) AS term FROM i) GROUP BY item, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, total),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(ts) * total) // words AS m FROM d, s WHERE len(ts) > 0),
+g AS (
+  SELECT item, m.r, m.doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m.m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN m ON p.r = m.r GROUP BY item, m.r, m.doc_id),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o JOIN i USING (item) WHERE rank <= 10""")
+def op11(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_packing")
+def op12(spark, sf_dir):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        pieces = packing.pack(table(spark, sf_dir, "documents"), file.read())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def with_periods(docs):
+    """The texts, with those whose crc32(doc_id as text) is divisible by 10 made periodic from some word on; a null id stays as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    drawn = docs.where((h % 10 == 0) & F.col("text").isNotNull()).select("doc_id", words.alias("words"), F.floor(h / 10).alias("g"))
+    sized = drawn.withColumn("n", F.size("words"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    new = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return docs.where((h % 10 != 0) | h.isNull() | F.col("text").isNull()).select("doc_id", "text").unionByName(
+        placed.select("doc_id", F.array_join(new, " ").alias("text")))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    found = periodic_runs.find_runs(with_periods(columns(table(spark, sf_dir, "documents"), "doc_id", "text")))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.aggregate("runs", none, lambda best, r: F.when(better(best, r), r).otherwise(best))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
