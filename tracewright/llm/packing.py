@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,35 +14,46 @@ from tracewright.session import settle
 
 LENGTH = 2048
 END = 1
-SLICE = 4 << 20
-# Chunks of text whose ids a task remembers.
-KNOWN = 200_000
+SLICE = 2 << 20
+# Chunks of text whose ids a worker remembers, twice: those used of late, and the ones before.
+KNOWN = 100_000
 # So many partitions have their offsets added up in one group.
 PARTS = 1024
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+_BEFORE_WORD = _SIGN.copy()
+_BEFORE_WORD[ord("'")] = False  # 's, 't and so on are pieces
+# First bytes of chunks: white space, or of characters that aren't.
+_FIRST = IS_SPACE.copy()
+_FIRST[0x21:0x7F] = _FIRST[0xC3:0xE0] = _FIRST[0xE4:0xF5] = True
+
+
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where texts can be cut without a change of ids: begins of texts, and white space behind a character that isn't.
+    """Places where texts can be cut without a change of ids: begins of texts, white space behind a character that isn't,
+    and between ASCII letters or digits and other ASCII signs.
 
-    The pre-tokenizer never lets a piece go on from a character that isn't
-    white space to one that is. Behind a character that might be white space
-    beyond ASCII (lead bytes C2, E1, E2, E3) no cut is made.
+    The pre-tokenizer never lets a piece go on across such a place, and none
+    looks back. Behind a character that might be white space beyond ASCII
+    (lead bytes C2, E1, E2, E3) no cut is made, nor between an apostrophe and a letter.
     """
     solid = (data > 0x20) & (data < 0x7F)
     if len(data) > 2:
-        two = (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
-        solid[1:] |= two
-        three = (data[:-2] >= 0xE4) & (data[:-2] <= 0xEF)
-        solid[2:] |= three
+        solid[1:] |= (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+        solid[2:] |= (data[:-2] >= 0xE4) & (data[:-2] <= 0xEF)
     cut = IS_SPACE[data]
     cut[0:1] = True
     cut[1:] &= solid[:-1]
+    cut[1:] |= (_ALNUM[data[:-1]] & _SIGN[data[1:]]) | (_BEFORE_WORD[data[:-1]] & _ALNUM[data[1:]])
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Token ids of many texts; every distinct chunk between two cuts goes through the tokenizer once."""
+    """Token ids of many texts; a chunk between two cuts goes through the tokenizer when it isn't remembered."""
 
     def __init__(self, definition: str):
         import os
@@ -50,7 +63,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, np.ndarray] = {}
+        # A token of a byte-level vocabulary is written with one character a byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def encode(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of different chunks. Those that end in a visible ASCII character and don't begin with one that might be white
+        space beyond ASCII go through the tokenizer in one text.
+
+        There, a line end is put before chunks that don't begin with white
+        space; it is a piece, and a token, of its own.
+        """
+        out: dict[int, bytes] = {}
+        for a in range(0, len(chunks), 1 << 14):
+            some = range(a, min(a + (1 << 14), len(chunks)))
+            plain = [i for i in some if 0x20 < chunks[i][-1] < 0x7F and _FIRST[chunks[i][0]]]
+            lead = np.array([chunks[i][0] not in b" \t\n\r\x0b\x0c" for i in plain], bool)
+            stop = np.cumsum(np.array([len(chunks[i]) for i in plain], np.int64) + lead)
+            text = b"".join([b"\n" + chunks[i] if n else chunks[i] for i, n in zip(plain, lead)]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.searchsorted(np.cumsum(self.bytes[ids]), stop) + 1
+            raw = ids.tobytes()
+            first = np.concatenate([[0], last[:-1]]) + lead if len(plain) else last
+            out.update((i, raw[4 * x:4 * y]) for i, x, y in zip(plain, first.tolist(), last.tolist()))
+            odd = [i for i in some if i not in out]
+            for i, e in zip(odd, self.tokenizer.encode_batch_fast([chunks[i].decode() for i in odd], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return [out[i] for i in range(len(chunks))]
+
+    def look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk, 32 bits each."""
+        if len(self.known) > KNOWN:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for c in chunks:
+            if c not in known:
+                if c in before:
+                    known[c] = before[c]
+                else:
+                    new.append(c)
+        for c, e in zip(new, self.encode(new)):
+            known[c] = e
+        return [known[c] for c in chunks]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by ``end``, and the n + 1 offsets of the texts."""
@@ -60,15 +118,9 @@ class Encoder:
         starts = chunk_starts(data, offsets)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(chunks)
-        texts, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > KNOWN:
-            self.known = {}
-        new = [t for t in texts if t not in self.known]
-        for t, e in zip(new, self.tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False)):
-            self.known[t] = np.array(e.ids, np.uint32)
-        parts = [self.known[t] for t in texts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat, begin = np.concatenate([*parts, np.zeros(0, np.uint32)]), np.cumsum(sizes) - sizes
+        which, parts = coded.indices.to_numpy(), self.look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, begin = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
         n = sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
         found = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
@@ -76,6 +128,16 @@ class Encoder:
         return np.insert(found, edges[1:], np.uint32(end)), edges + np.arange(len(edges))
 
 
+_ENCODER: list = []
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The encoder of a worker; only the last definition's is kept."""
+    if not _ENCODER or _ENCODER[0] != definition:
+        _ENCODER[:] = [definition, Encoder(definition)]
+    return _ENCODER[1]
+
+
 def tokenise(docs: DataFrame, definition: str, keep: list[str], end: int = END) -> DataFrame:
     """The columns ``keep`` with ids (those of the text, then ``end``), their number, and place: partition and ids before in it."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.shiftright(F.monotonically_increasing_id(), 33).cast("int").alias("__part"),
@@ -88,7 +150,7 @@ def tokenise(docs: DataFrame, definition: str, keep: list[str], end: int = END)
 
         encoder, before = None, 0
         for batch in batches:
-            encoder = encoder or Encoder(shared.value)
+            encoder = encoder or encoder_of(shared.value)
             for part in slices(batch, SLICE, "__text"):
                 ids, edges = encoder.ids(*text_arrays(part.column(part.num_columns - 1)), end)
                 yield pa.RecordBatch.from_arrays(
