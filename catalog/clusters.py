@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import VEC, documents, vectors
 from catalog.registry import query
+from tracewright.functions import vectors as vc
 from tracewright.operators import clustering as cl
+from tracewright.operators import isolation as iso
+from tracewright.operators import linkage as lk
+from tracewright.operators import shared_scan as ss
 from tracewright.operators.neighbors import nearest
-from tracewright.operators.vector_stats import standardize
+from tracewright.operators.vector_stats import mean_agg, standardize
 from tracewright.session import settle
 
 NEAR = f"""{VEC}, near AS (SELECT a.row_id AS query_id, a.label AS mine, b.row_id AS neighbor_id, b.label AS their, list_distance(a.vec, b.vec) AS d,
@@ -34,25 +38,54 @@ def nearest_of_class(spark, sf):
     return nearest(v, v, 3, by="label").select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id")
 
 
-# Clusters depend on draws; what must hold for any draw is compared.
-NUMBERED = "SELECT count(*) AS n_rows, true AS numbered_without_gap FROM embeddings"
+# Clusters depend on draws; what must hold for any draw is compared: ids without a gap, and hardly any row that lies nearer
+# to the mean of another cluster than to that of its own.
+def _numbered_sql(k: str) -> str:
+    return f"SELECT count(*) AS n_rows, {k} AS as_many_as_asked, true AS numbered_without_gap, true AS near_their_means FROM embeddings"
 
 
-def _numbered(rows):
+def _means(long, *keys):
+    """Size, mean and mean squared length of every cluster, from labels as they were written."""
+    return long.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), mean_agg("vec", 64).alias("m"), F.avg(vc.dot(F.col("vec"), F.col("vec"))).alias("mq"))
+
+
+def _numbered(rows, k=None):
+    rows = settle(rows.select("row_id", "cluster", vc.as_doubles(F.col("vec")).alias("vec")), "labelled")
+    means = _means(rows).agg(F.collect_list(F.struct("cluster", "m")).alias("t")).scalar()  # at most twenty clusters
+    near = F.array_min(F.transform("means", lambda c: F.struct(vc.squared_distance(F.col("vec"), c["m"]).alias("d"), c["cluster"].alias("c"))))
+    strays = rows.withColumn("means", means).agg(F.count_if(near["c"] != F.col("cluster")).alias("s")).scalar()
     gapless = (F.min("cluster") == 0) & (F.max("cluster") + 1 == F.count_distinct("cluster")) & (F.count_distinct("row_id") == F.count("*"))
-    return rows.agg(F.count("*").alias("n_rows"), gapless.alias("numbered_without_gap"))
+    many = F.count_distinct("cluster").between(2, 20) if k is None else F.count_distinct("cluster") == k
+    return rows.agg(F.count("*").alias("n_rows"), many.alias("as_many_as_asked"), gapless.alias("numbered_without_gap"), F.count("*").alias("n")).select(
+        "n_rows", "as_many_as_asked", "numbered_without_gap", (strays * 50 <= F.col("n")).alias("near_their_means"))
 
 
-@query("c01_pseudo_labels", NUMBERED)
+@query("c01_pseudo_labels", _numbered_sql("true"))
 def pseudo_labels(spark, sf):
-    """The number of clusters is searched from 2 to 20."""
-    return _numbered(cl.pseudo_labels(vectors(spark, sf), "vec").select("row_id", "cluster"))
+    """The number of clusters is searched from 2 to 20; labels on standardized vectors."""
+    scaled = settle(standardize(vectors(spark, sf), "vec"), "scaled")
+    found = cl.pseudo_labels(scaled, "vec").select("row_id", "cluster", F.col("scaled").alias("vec"))
+    return _numbered(found)
 
 
-@query("c02_silhouette_by_k", "SELECT unnest(range(2, least(20, (SELECT count(*) FROM embeddings) // 10)::INTEGER + 1))::INTEGER AS k, true AS in_range")
+@query("c02_silhouette_by_k", "SELECT unnest(range(2, least(20, (SELECT count(*) FROM embeddings) // 10)::INTEGER + 1))::INTEGER AS k, true AS as_by_labels")
 def silhouette_by_k(spark, sf):
-    rows = settle(standardize(vectors(spark, sf), "vec"), "scaled")
-    return cl.silhouette_by_k(rows, "scaled").select("k", F.col("silhouette").between(-1, 1).alias("in_range"))
+    """Every silhouette is taken again from the written labels: the mean squared distance to a cluster is
+    q + mean(q of its rows) - 2 x * mean(x of its rows)."""
+    rows = settle(standardize(vectors(spark, sf), "vec").select("row_id", F.col("scaled").alias("vec")), "scaled")
+    found = cl.k_search(rows, "vec")
+    labelled = settle(ss.assign(rows, "vec", {f"k{m.k}": m for m, _ in found}), "labelled")
+    each = F.inline(F.array(*[F.struct(F.lit(m.k).alias("k"), F.col(f"k{m.k}").alias("cluster")) for m, _ in found]))
+    long = labelled.select("row_id", "vec", each)
+    stats = F.broadcast(_means(long, "k").select("k", F.col("cluster").alias("other"), "n", "m", "mq"))  # 209 rows
+    q = vc.dot(F.col("vec"), F.col("vec"))
+    gaps = long.join(stats, "k").select("row_id", "k", "cluster", "other", "n", F.greatest(q + F.col("mq") - 2.0 * vc.dot(F.col("vec"), F.col("m")), F.lit(0.0)).alias("gap"))
+    own = F.col("other") == F.col("cluster")
+    each = gaps.groupBy("row_id", "k").agg(F.max(F.when(own, F.col("gap") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
+                                           F.min(F.when(~own, F.col("gap"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("n"))
+    again = each.groupBy("k").agg(F.avg(F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("again"))
+    told = spark.createDataFrame([(m.k, s) for m, s in found], "k int, silhouette double")
+    return told.join(again, "k").select("k", (F.abs(F.col("silhouette") - F.col("again")) < 1e-9).alias("as_by_labels"))
 
 
 EPS = 9.2
@@ -83,9 +116,10 @@ def dbscan_filled(spark, sf):
     return cl.dbscan(rows, "scaled", EPS, 3).select("row_id", "cluster")
 
 
-@query("c04_level_clusters", NUMBERED)
+@query("c04_level_clusters", _numbered_sql("true"))
 def level_clusters(spark, sf):
-    return _numbered(cl.level_clusters(vectors(spark, sf), "vec", 4).select("row_id", "cluster"))
+    scaled = settle(standardize(vectors(spark, sf), "vec"), "scaled")
+    return _numbered(cl.level_clusters(scaled, "vec", 4).select("row_id", "cluster", F.col("scaled").alias("vec")), 4)
 
 
 @query("c05_bisecting_clusters", "SELECT count(*) AS n_rows, 4 AS n_clusters, count(*) * 0 AS centroids_off FROM embeddings")
@@ -103,6 +137,46 @@ def level_pseudo_labels(spark, sf):
     return cl.level_pseudo_labels(vectors(spark, sf), "vec").select("row_id", "level_0", "level_1", "level_2")
 
 
+@query("c06_levels", """SELECT level, true AS as_many_as_asked, true AS numbered_without_gap, true AS near_their_means, count(*) AS n_rows
+  FROM embeddings, (SELECT unnest([0, 1, 2]) AS level) GROUP BY level""")
+def levels_of_pseudo_labels(spark, sf):
+    """The number of clusters of a level is min(8, max(2, n / (10 * (level + 1))))."""
+    rows = settle(cl.level_pseudo_labels(vectors(spark, sf), "vec"), "levels")
+    n = rows.count()
+    parts = [_numbered(rows.withColumn("cluster", F.col(f"level_{i}")), min(8, max(2, n // (10 * (i + 1))))).withColumn("level", F.lit(i)) for i in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("c05_ward_merges", """WITH u AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  m AS (SELECT i, avg(x) AS m FROM u GROUP BY 1)
+  SELECT (SELECT count(*) FROM embeddings) - 1 AS n_merges, (SELECT count(*) FROM embeddings) - 1 AS n_joined,
+    (SELECT count(*) FROM embeddings) AS largest, round(sum((x - m) * (x - m)), 3) AS squares FROM u JOIN m USING (i)""")
+def ward_merges(spark, sf):
+    """Half the squared heights of all merges add up to the sum of squares around the mean of all rows."""
+    merges = settle(lk.ward_merges(vectors(spark, sf), "vec"), "merges")
+    return merges.agg(F.count("*").alias("n_merges"), F.count_distinct("b").alias("n_joined"), F.max("size").alias("largest"),
+                      F.round(F.sum(F.col("height") * F.col("height")) / 2, 3).alias("squares"))
+
+
+@query("c05_agglomerative_clusters", "SELECT count(*) AS n_rows, 4 AS n_clusters, 0 AS first, 3 AS last FROM embeddings")
+def agglomerative_clusters(spark, sf):
+    return cl.level_clusters(vectors(spark, sf), "vec", 4, method="agglomerative").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("cluster").cast("int").alias("n_clusters"), F.min("cluster").alias("first"), F.max("cluster").alias("last"))
+
+
+@query("h06_isolation_forest", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 250 = 0) AS p FROM embeddings)
+  SELECT n AS n_rows, ceil(n * 0.1)::BIGINT - 1 AS n_flagged, p AS n_planted, p AS planted_first FROM n""")
+def isolation_forest(spark, sf):
+    """Every 250th row is moved far out. All of these must be ranked first, and the cut must flag the rows below a tenth."""
+    moved = F.transform(vc.as_doubles(F.col("vec")), lambda x: F.when(F.col("row_id") % 250 == 0, x * 12).otherwise(x))
+    rows = settle(vectors(spark, sf).select("row_id", moved.alias("vec")), "moved")
+    scored = settle(iso.flag_outliers(iso.score(rows, "vec", iso.fit(rows, "vec")), 0.1), "scored")
+    planted = F.col("row_id") % 250 == 0
+    others = scored.where(~planted).agg(F.max("outlier_score").alias("m")).scalar()
+    return scored.agg(F.count("*").alias("n_rows"), F.count_if("is_outlier").alias("n_flagged"), F.count_if(planted).alias("n_planted"),
+                      F.count_if(planted & (F.col("outlier_score") > others)).alias("planted_first"))
+
+
 @query("c07_cluster_quality")
 def cluster_quality(spark, sf):
     c = settle(cl.kmeans(vectors(spark, sf), "vec", 5), "clustered")

@@ -304,6 +304,22 @@ def linear_cells(spark, sf):
     return mt.per_class_metrics(cells)
 
 
+@query("v01_class_support", f"""WITH {CELLS}, has AS (SELECT row_id, max(y_true) AS a FROM cell JOIN embeddings ON vec_id = row_id GROUP BY 1),
+  r AS (SELECT row_id, row_number() OVER (PARTITION BY a ORDER BY md5('42:' || row_id), row_id) AS rn, count(*) OVER (PARTITION BY a) AS n FROM has),
+  test AS (SELECT row_id FROM r WHERE rn > n - floor(n * 0.2 + 0.5))
+  SELECT class, count(*) AS n_rows, sum(y_true)::BIGINT AS support, 0 AS outside, true AS learned FROM cell JOIN test USING (row_id) GROUP BY 1""")
+def class_support(spark, sf):
+    """Rows and support of each class in the test part; scores are probabilities. Every third dimension of a vector is moved by
+    the label it stands for, so that a model that learns puts positives above negatives."""
+    e = event_vectors(spark, sf).select("row_id", F.col("y_true").alias("label_vector"))
+    moved = F.transform(F.col("vec"), lambda x, i: x.cast("double") + F.when(i % 3 == 0, 3.0 * F.coalesce(F.get("label_vector", F.floor(i / 3).cast("int")), F.lit(0))).otherwise(0.0))
+    rows = vectors(spark, sf).select("row_id", "vec").join(e, "row_id").withColumn("vec", moved)
+    cells = settle(md.evaluate_embedding(rows, CLASSES), "cells")
+    mean = lambda y: F.avg(F.when(F.col("y_true") == y, F.col("score")))
+    return cells.groupBy("class").agg(F.count("*").alias("n_rows"), F.sum("y_true").alias("support"), F.count_if(~F.col("score").between(0, 1)).cast("int").alias("outside"),
+                                      F.coalesce(mean(1) > mean(0), F.lit(True)).alias("learned"))
+
+
 @query("v03_forest_detection")
 def forest_detection(spark, sf):
     return md.forest_evaluation(_binary_vectors(spark, sf))

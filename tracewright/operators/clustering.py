@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import vectors as vc
 from tracewright.operators import blocks as bk
+from tracewright.operators import shared_scan as ss
 from tracewright.operators.blocks import pairwise_squared, stack
 from tracewright.operators.components import connected_components
 from tracewright.operators.joining import lookup_join
+from tracewright.operators.linkage import ward_clusters
 from tracewright.operators.neighbors import nearest_label
 from tracewright.operators.ranking import running_totals
 from tracewright.operators.vector_stats import (
@@ -25,12 +27,16 @@ def _features(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("features_", array_to_vector(vc.as_doubles(F.col(vector))))
 
 
-def kmeans(rows: DataFrame, vector: str, k: int, out: str = "cluster", seed: int = 42, starts: int = 1) -> DataFrame:
-    """K-means ids; the best of ``starts`` seeds by training cost."""
-    data = _features(rows, vector)
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features_", predictionCol=out).fit(data) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).drop("features_")
+def kmeans(rows: DataFrame, vector: str, k: int, out: str = "cluster", seed: int = 42, starts: int = 1,
+           row_id: str = "row_id") -> DataFrame:
+    """K-means ids; the best of ``starts`` seeds by training cost, all of them trained in the same passes.
+
+    Rows without a vector get null, null entries count as 0.
+    """
+    models = ss.fit(ss.prepared(rows, vector, row_id), [k], starts, seed).models
+    if not models:
+        return rows.withColumn(out, F.lit(None).cast("int"))
+    return ss.assign(rows, vector, {out: models[0]})
 
 
 def bisecting(rows: DataFrame, vector: str, k: int, out: str = "cluster", seed: int = 42) -> DataFrame:
@@ -48,8 +54,24 @@ def pseudo_labels(rows: DataFrame, vector: str, k: int | None = None, out: str =
                   row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """K-means on standardized vectors; without ``k`` the number with the best (squared) silhouette is used."""
     scaled = settle(standardize(rows, vector, out="scaled_"), "scaled")
-    k = k or best_k(scaled, "scaled_", row_id=row_id, seed=seed)
-    return kmeans(scaled, "scaled_", k, out, seed).drop("scaled_")
+    if k:
+        return kmeans(scaled, "scaled_", k, out, seed, row_id=row_id).drop("scaled_")
+    found = k_search(scaled, "scaled_", row_id=row_id, seed=seed)
+    if not found:
+        return kmeans(scaled, "scaled_", 2, out, seed, row_id=row_id).drop("scaled_")
+    best = max(found, key=lambda pair: (pair[1], -pair[0].k))[0]
+    return ss.assign(scaled, "scaled_", {out: best}).drop("scaled_")
+
+
+def k_search(rows: DataFrame, vector: str, max_k: int = 20, row_id: str = "row_id", seed: int = 42) -> list[tuple[ss.Model, float]]:
+    """Models for k = 2 .. min(max_k, n / 10) with their silhouettes of squared distances.
+
+    The number of passes over the rows doesn't depend on ``max_k``.
+    """
+    points = ss.prepared(rows, vector, row_id)
+    ks = list(range(2, min(max_k, points.count() // 10) + 1))
+    models = ss.fit(points, ks, seed=seed).models if ks else []
+    return list(zip(models, ss.silhouettes(points, models))) if models else []
 
 
 def silhouette_by_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str = "row_id",
@@ -59,22 +81,11 @@ def silhouette_by_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str =
     The silhouette is that of squared distances, linear in the rows. ``exact``
     takes plain distances: all k then share one pass over all pairs of rows.
     """
-    n = rows.count()
-    ks = list(range(2, min(max_k, n // 10) + 1))
-    if not ks:
-        return rows.sparkSession.createDataFrame([], "k int, silhouette double")
-    data = _features(rows.select(row_id, vector), vector)
-    for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="features_", predictionCol=f"k{k}").fit(data)
-        data = model.transform(data)
-    labelled = settle(data.drop("features_"), "labelled")
-    if not exact:
-        parts = [silhouette_squared(labelled, vector, f"k{k}").select(F.lit(k).alias("k"), "silhouette") for k in ks]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    return silhouettes(labelled, vector, [f"k{k}" for k in ks], row_id).select(
+    found = k_search(rows, vector, max_k, row_id, seed)
+    if not exact or not found:
+        return rows.sparkSession.createDataFrame([(m.k, s) for m, s in found], "k int, silhouette double")
+    labelled = settle(ss.assign(rows.where(F.col(vector).isNotNull()).select(row_id, vector), vector, {f"k{m.k}": m for m, _ in found}), "labelled")
+    return silhouettes(labelled, vector, [f"k{m.k}" for m, _ in found], row_id).select(
         F.substring("labels", 2, 3).cast("int").alias("k"), "silhouette")
 
 
@@ -86,11 +97,13 @@ def best_k(rows: DataFrame, vector: str, max_k: int = 20, row_id: str = "row_id"
 
 def level_clusters(rows: DataFrame, vector: str, nodes_in_next_level: int, method: str = "kmeans",
                    out: str = "cluster", seed: int = 42) -> DataFrame:
-    """Clusters for one taxonomy level on standardized vectors."""
+    """Clusters for one taxonomy level on standardized vectors: kmeans, agglomerative (Ward) or bisecting."""
     k = nodes_in_next_level or min(8, max(2, rows.count() // 100))
     scaled = settle(standardize(rows, vector, out="scaled_"), "scaled")
     if method == "kmeans":
         return kmeans(scaled, "scaled_", k, out, seed, starts=10).drop("scaled_")
+    if method == "agglomerative":
+        return ward_clusters(scaled, "scaled_", k, out).drop("scaled_")
     return bisecting(scaled, "scaled_", k, out, seed).drop("scaled_")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import vectors as vc
 from tracewright.operators import metrics as mt
+from tracewright.operators import multilabel as ml
 from tracewright.operators.ranking import stratified_folds, stratified_split
 from tracewright.operators.vector_stats import flag_anomalies, standardize
 from tracewright.session import settle
@@ -20,33 +21,17 @@ def _prepared(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(vc.as_doubles(F.col(vector))))
 
 
-def _probability(model, rows: DataFrame, out: str) -> DataFrame:
-    scored = model.transform(rows)
-    return scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop(
-        "rawPrediction", "probability", "prediction")
-
-
 def score_classes(train: DataFrame, test: DataFrame, classes: list[str], vector: str = "vec",
                   bits: str = "label_vector", row_id: str = "row_id", max_iter: int = 1000) -> DataFrame:
     """Cells (row_id, class, y_true, score): one logistic model per class on standardized vectors.
 
-    A class that is constant in the training rows scores as that constant.
+    All classes are trained in the same passes. A class that is constant in the
+    training rows scores as that constant. Null labels count as 0.
     """
     both = train.withColumn("train_", F.lit(True)).unionByName(test.withColumn("train_", F.lit(False)))
-    both = settle(_prepared(standardize(both, vector, out="scaled_"), "scaled_")
-                  .select(row_id, "features", bits, "train_"), "scaled")
-    fit_on, score_on = both.where("train_"), both.where("NOT train_")
-    parts = []
-    for i, name in enumerate(classes):
-        data = fit_on.withColumn("label", F.get(F.col(bits), F.lit(i)).cast("double"))
-        seen = data.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
-        if seen["lo"] == seen["hi"]:
-            scored = score_on.withColumn("score", F.lit(float(seen["lo"] or 0.0)))
-        else:
-            scored = _probability(LogisticRegression(maxIter=max_iter).fit(data), score_on, "score")
-        parts.append(scored.select(row_id, F.lit(name).alias("class"),
-                                   F.get(F.col(bits), F.lit(i)).cast("int").alias("y_true"), "score"))
-    return reduce(DataFrame.unionByName, parts)
+    both = settle(standardize(both.select(row_id, vector, bits, "train_"), vector, out="scaled_").select(row_id, "scaled_", bits, "train_"), "scaled")
+    weights = ml.fit(ml.prepared(both.where("train_"), "scaled_", bits, row_id, "classes-train"), len(classes), max_iter)
+    return ml.cells(ml.prepared(both.where("NOT train_"), "scaled_", bits, row_id, "classes-test"), weights, classes, row_id)
 
 
 def evaluate_embedding(rows: DataFrame, classes: list[str], vector: str = "vec", bits: str = "label_vector",

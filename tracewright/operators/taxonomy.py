@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import labels as lb
 from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
+from tracewright.operators import isolation as iso
 from tracewright.operators.clustering import distance_to_centroid, level_clusters
 from tracewright.operators.joining import explode_values
 from tracewright.operators.ranking import exact_quantile
@@ -213,6 +214,13 @@ def outlier_cut(labelled: DataFrame, vector: str, share: float = 0.1) -> DataFra
     return exact_quantile(scored, "inlier", share).select(F.col("quantile").alias("threshold"))
 
 
+def isolation_cut(rows: DataFrame, vector: str, share: float = 0.1, row_id: str = "row_id", seed: int = 42) -> DataFrame:
+    """Low percentile of the inlier score (the negated score) of an isolation forest fitted on the rows."""
+    forest = iso.fit(rows, vector, row_id=row_id, seed=seed)
+    scored = iso.score(rows, vector, forest).select((-F.col("outlier_score")).alias("inlier"))
+    return exact_quantile(scored, "inlier", share).select(F.col("quantile").alias("threshold"))
+
+
 def fit_predict(rows: DataFrame, vector: str, levels: int = 3, threshold: float = 0.5, nodes=NODES,
                 hidden=(256, 128, 64), epochs: int = 50, seed: int = 42) -> DataFrame:
     """Train every level on the rows and predict their paths."""
