@@ -9,6 +9,7 @@ from catalog.registry import query
 from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
 from tracewright.operators import embedding as em
+from tracewright.operators import skipgram as sg
 from tracewright.operators import vector_stats as vs
 from tracewright.session import settle
 
@@ -18,7 +19,7 @@ TOKENS = """tok AS (SELECT doc_id AS row_id, list_filter(regexp_extract_all(lowe
   lambda x: length(x) BETWEEN 2 AND 15 AND NOT starts_with(x, '_')) AS tokens FROM documents),
 one AS (SELECT row_id, unnest(tokens) AS token FROM tok),
 vocab AS (SELECT token, count(*) AS n FROM one GROUP BY 1 HAVING count(*) >= 5),
-vec8 AS (SELECT token, d, ('0x' || substr(md5('42:' || token || ':' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1 AS x
+vec8 AS (SELECT token, d, (('0x' || substr(md5('42:' || token || ':' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1)::FLOAT::DOUBLE AS x
   FROM vocab, (SELECT unnest(range(8)) AS d))"""
 
 
@@ -26,8 +27,20 @@ def _tokens(spark, sf):
     return em.tokenize(documents(spark, sf))
 
 
-def _vocab(rows):
-    return em.hashed_vectors(em.vocabulary_counts(rows, min_count=5), 300)
+def _floats(vectors):
+    return vectors.withColumn("vec", F.col("vec").cast("array<float>"))
+
+
+_VECTORS: dict = {}
+
+
+def word_vectors(spark, sf):
+    """A table of 300 numbers for every word that occurs five times; it stands for a trained one and is made once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VECTORS:
+        words = em.vocabulary_counts(_tokens(spark, sf).select("tokens"), min_count=5)
+        _VECTORS[key] = settle(_floats(em.hashed_vectors(words.select("token"), 300)), "word-vectors")
+    return _VECTORS[key]
 
 
 @query("f01_x03_tokens", f"WITH {TOKENS} SELECT row_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM tok")
@@ -46,7 +59,7 @@ def vocabulary_counts(spark, sf):
   FROM tok t LEFT JOIN p USING (row_id) GROUP BY 1""")
 def mean_pool(spark, sf):
     rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
-    out = em.mean_pool(rows, _vocab(rows), 300)
+    out = em.mean_pool(rows, word_vectors(spark, sf), 300)
     v = F.col("embedding").cast("array<double>")
     return out.select("row_id", F.round(v[0], 4).alias("m0"), F.round(v[7], 4).alias("m7"))
 
@@ -55,17 +68,37 @@ def mean_pool(spark, sf):
   mark AS (SELECT token, '<' || token || '>' AS w FROM rare),
   gram AS (SELECT token, substr(w, i, n) AS g FROM mark, (SELECT unnest(range(3, 7)) AS n), (SELECT unnest(range(1, 18)) AS i) WHERE i + n - 1 <= length(w)),
   slot AS (SELECT token, ('0x' || substr(md5('42:' || g), 1, 8))::BIGINT % 1000 AS bucket FROM gram),
-  built AS (SELECT token, avg(('0x' || substr(md5('42:' || bucket || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1) AS x FROM slot GROUP BY 1),
+  built AS (SELECT token, avg((('0x' || substr(md5('42:' || bucket || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 2 - 1)::FLOAT::DOUBLE) AS x FROM slot GROUP BY 1),
   full0 AS (SELECT token, x FROM vec8 WHERE d = 0 UNION ALL SELECT token, x FROM built),
   p AS (SELECT row_id, avg(x) AS m FROM one JOIN full0 USING (token) GROUP BY 1)
   SELECT row_id, coalesce(round(m, 4), 0) AS m0 FROM tok LEFT JOIN p USING (row_id)""")
 def subword_pool(spark, sf):
     rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
-    buckets = em.hashed_vectors(spark.range(1000).select(F.col("id").cast("int").alias("bucket")), 300, "bucket")
-    out = em.subword_pool(rows, _vocab(rows), buckets, 1000, 300)
+    buckets = _floats(em.hashed_vectors(spark.range(1000).select(F.col("id").cast("int").alias("bucket")), 300, "bucket"))
+    out = em.subword_pool(rows, word_vectors(spark, sf), buckets, 1000, 300)
     return out.select("row_id", F.round(F.col("embedding").cast("array<double>")[0], 4).alias("m0"))
 
 
+@query("f04_trained_subwords", f"WITH {TOKENS} SELECT count(*) + 3 AS n_words, true AS alike_near, true AS inflection_near FROM vocab")
+def trained_subwords(spark, sf):
+    """Vectors are trained on all texts, in which every third use of a frequent word is replaced by a made-up one, and a row
+    with a third made-up word is added for each text. Both words of a pair are used alike, so they must be nearer to each
+    other than to nine of ten other words; an inflection that was never seen must be near its stem."""
+    rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
+    common = em.vocabulary_counts(rows).orderBy(F.desc("n"), "token").offset(20).limit(1).first()["token"]
+    turned = F.transform("tokens", lambda t, i: F.when((t == common) & ((i + F.col("row_id")) % 3 == 0), F.lit("qwzyxk")).when((t == common) & ((i + F.col("row_id")) % 3 == 1), F.lit("vujhgm")).otherwise(t))
+    planted = rows.select("row_id", turned.alias("tokens")).unionByName(spark.range(5).select((-F.col("id") - 1).alias("row_id"), F.array(F.lit("qqlonely"), F.lit("qqlonely")).alias("tokens")))
+    vocab, buckets = sg.train(planted, width=64, buckets=4000, epochs=3)
+    asked = spark.createDataFrame([(1, ["vujhgms"]), (2, ["vujhgm"]), (3, ["qwzyxk"])], "row_id bigint, tokens array<string>")
+    found = {r["row_id"]: list(r["embedding"]) for r in em.subword_pool(asked, vocab, buckets, 4000, 64).collect()}
+    near = lambda i: vc.cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in found[i]]))
+    told = vocab.select("token", near(1).alias("inflection"), near(2).alias("alike"))
+    value = lambda name, column: F.max(F.when(F.col("token") == name, F.col(column)))
+    tenth = lambda column: F.percentile_approx(F.when(~F.col("token").isin("vujhgm", "qwzyxk"), F.col(column)), 0.9, 10_000)
+    return told.agg(F.count("*").alias("n_words"), (value("qwzyxk", "alike") > tenth("alike")).alias("alike_near"),
+                    (value("vujhgm", "inflection") > tenth("inflection")).alias("inflection_near"))
+
+
 @query("f03_trained_vectors", f"WITH {TOKENS} SELECT token, 300 AS width FROM vocab")
 def trained_vectors(spark, sf):
     """Which tokens get a vector, and its width; the numbers in it depend on draws."""

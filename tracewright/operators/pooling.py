@@ -21,7 +21,7 @@ from tracewright.operators.joining import explode_values
 from tracewright.session import settle
 
 # Bytes of vectors that travel to every task, and of one block of the rest.
-HOT_BYTES = 64 << 20
+HOT_BYTES = 128 << 20
 BLOCK_BYTES = 32 << 20
 # Rows of counts of one block that meet its vectors in one place.
 SLICE_ROWS = 8 << 20
@@ -76,12 +76,14 @@ class Vectors:
 def add_by_row(matrix: np.ndarray, row: np.ndarray, at: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
     """out[row] += weight * matrix[at], in double precision; ``row`` is sorted."""
     out = np.zeros((rows, matrix.shape[1]))
+    if not len(row):
+        return out
     step = max(1, CELLS // max(1, matrix.shape[1]))
-    for a in range(0, len(row), step):
-        r = row[a:a + step]
-        part = matrix[at[a:a + step]] * weight[a:a + step, None].astype(np.float64)
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[first]] += np.add.reduceat(part, first, axis=0)
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    weight = weight.astype(np.float64)
+    for r, a, b in zip(row[first].tolist(), first.tolist(), [*first[1:].tolist(), len(row)]):
+        for c in range(a, b, step):
+            out[r] += weight[c:min(c + step, b)] @ matrix[at[c:min(c + step, b)]].astype(np.float64)
     return out
 
 
@@ -131,9 +133,13 @@ def collect_vectors(df: DataFrame, key: str, width: int) -> Vectors:
 
 def gram_slots(word: str, buckets: int, seed: int) -> list[int]:
     """Bucket of every n-gram of 3 to 6 characters of a word between boundary marks."""
-    marked = f"<{word}>"
-    grams = [marked[i:i + n] for n in range(3, 7) for i in range(len(marked) - n + 1)]
-    return [int(hashlib.md5(f"{seed}:{g}".encode()).hexdigest()[:8], 16) % buckets for g in grams]
+    marked, lead, md5 = f"<{word}>", f"{seed}:".encode(), hashlib.md5
+    if marked.isascii():
+        marked = marked.encode()
+        grams = [marked[i:i + n] for n in range(3, 7) for i in range(len(marked) - n + 1)]
+    else:
+        grams = [marked[i:i + n].encode() for n in range(3, 7) for i in range(len(marked) - n + 1)]
+    return [int.from_bytes(md5(lead + g).digest()[:4]) % buckets for g in grams]
 
 
 class Subwords:
