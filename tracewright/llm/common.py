@@ -50,20 +50,43 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict = {}
+POWERS = (1 << 20) + 1
 
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n, kept for the life of a worker."""
+    """base**i and its inverse modulo 2**64 for i < n; the first 2**20 are kept for the life of a worker, longer ones aren't."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, POWERS)
         up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
         up[0] = down[0] = 1
         up[1:], down[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        have = _POWERS[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        have = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        if size == POWERS:
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 
+def released(run):
+    """``run`` over batches, after which the worker gives freed memory back to the system, as it stays for other stages."""
+    def through(*batches):
+        try:
+            yield from run(*batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not the GNU library
+                pass
+    return through
+
+
 class Rolling:
     """Polynomial hashes of any stretch of a byte array, from one running sum."""
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, Rolling, columns, components, mix, slices, text_arrays, words_of
+from tracewright.llm.common import LOWER, Rolling, columns, components, mix, released, slices, text_arrays, words_of
 from tracewright.operators.joining import lookup_join
 from tracewright.session import settle
 
@@ -136,7 +136,7 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
                                                   pa.array(marks[:, 1]), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return settle(columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, keys binary"), "jaccard-sets")
+    return settle(columns(docs, "doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, keys binary"), "jaccard-sets")
 
 
 def _pairs(node: np.ndarray, info: np.ndarray, begin: np.ndarray, count: np.ndarray):
@@ -227,8 +227,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([node, first], 1)[node != first], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    rows = nodes.select("node", "keys").mapInArrow(spread, "key bigint, node bigint, info bigint")
-    met = settle(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "a bigint, b bigint, key bigint, ia bigint, ib bigint"), "jaccard-met")
+    rows = nodes.select("node", "keys").mapInArrow(released(spread), "key bigint, node bigint, info bigint")
+    met = settle(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(released(_meet), "a bigint, b bigint, key bigint, ia bigint, ib bigint"), "jaccard-met")
     kind = lambda c: F.shiftright(c, _SHIFT)
     slack = lambda c: F.col(c).bitwiseAND((1 << _SHIFT) - 1) - 1
     common = met.where(F.col("b").isNull()).select("a", "key", kind("ia").alias("k"), slack("ia").alias("slack"))
@@ -240,7 +240,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     need = lambda s, h: F.col(s) - F.coalesce(F.col(h), F.lit(0))
     pairs = pairs.where(F.col("n") > F.greatest(need("sa", "ha"), need("sb", "hb"), F.lit(0))).select("a", "b")
     crowded = lookup_join(common, count.where("h > slack").select("a", "k"), ["a", "k"], "inner", row_bytes=32)
-    shared = crowded.select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(stars, "a bigint, b bigint")
+    shared = crowded.select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(released(stars), "a bigint, b bigint")
     return settle(pairs.unionByName(shared).distinct(), "jaccard-cells")
 
 
@@ -358,7 +358,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = lookup_join(rows, wanted, ["doc_id"], "inner", row_bytes=32)
-    return found.mapInArrow(run, "component bigint, c bigint, node bigint, set binary").where(F.octet_length("set") > 0)
+    return found.mapInArrow(released(run), "component bigint, c bigint, node bigint, set binary").where(F.octet_length("set") > 0)
 
 
 def _rest(large: DataFrame, links: DataFrame, rule: Rule) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.common import released
+
 BINS = 1 << 15
 ORDERS = 3
 # Training texts per language the weights are fitted on, in expectation; document frequencies come from all.
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n))], ["bin", "n"])
 
-    sums = {r["bin"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["bin"]: r["n"] for r in rows.select("text").mapInArrow(released(frequencies), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     total, idf = sums.pop(-1, 0), np.zeros(BINS)
     if sums:
         idf[list(sums)] = np.log((1 + total) / (1 + np.array(list(sums.values()), float))) + 1
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
                     pa.array([f[0] for f in found]), pa.array([f[1].astype(np.int32).tobytes() for f in found], pa.binary()),
                     pa.array([f[2].astype(np.int32).tobytes() for f in found], pa.binary())], ["lang", "at", "counts"])
 
-    found = sorted(chosen.mapInArrow(features, "lang string, at binary, counts binary").collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"])))
+    found = sorted(chosen.mapInArrow(released(features), "lang string, at binary, counts binary").collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"])))
     langs = sorted({r["lang"] for r in found})
     data = []
     for r in found:
@@ -201,4 +203,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                                              [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

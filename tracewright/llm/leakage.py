@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, Rolling, columns, slices, text_arrays
+from tracewright.llm.common import LOWER, Rolling, columns, released, slices, text_arrays
 from tracewright.session import settle
 
 UNIT = 16
@@ -172,7 +172,9 @@ def _tokens(docs: DataFrame, keep: list[str], vocabulary: Vocabulary, kind) -> D
                 out = pa.array([places[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], [*part.schema.names[:-1], "tokens"])
 
-    return settle(rows.mapInArrow(run, f"{fields}, tokens binary"), "leak-tokens")
+    found = settle(rows.mapInArrow(released(run), f"{fields}, tokens binary"), "leak-tokens")
+    shared.destroy()
+    return found
 
 
 def _weights(tokens: DataFrame, words: int, kind) -> np.ndarray:
@@ -193,7 +195,7 @@ def _weights(tokens: DataFrame, words: int, kind) -> np.ndarray:
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(count[at], n))], ["word", "n"])
 
-    found = {r["word"]: r["n"] for r in tokens.select("tokens").mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    found = {r["word"]: r["n"] for r in tokens.select("tokens").mapInArrow(released(run), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     n, df = found.pop(-1, 0), np.zeros(words)
     if found:
         df[list(found)] = list(found.values())
@@ -250,7 +252,7 @@ def _latent(tokens: DataFrame, items: Items, idf: np.ndarray, kind, rank: int) -
                          "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
     kinds = "place int, sums binary, n bigint"
-    found = tokens.select("tokens").mapInArrow(run, kinds).groupBy("place").applyInArrow(join, kinds).collect()
+    found = tokens.select("tokens").mapInArrow(released(run), kinds).groupBy("place").applyInArrow(join, kinds).collect()
     sketch = np.zeros((words, rank))
     for r in found:
         part = np.frombuffer(r["sums"]).reshape(-1, rank)
@@ -258,6 +260,7 @@ def _latent(tokens: DataFrame, items: Items, idf: np.ndarray, kind, rank: int) -
     flat, first, units = _units([w.astype(np.int32).tobytes() for w in items.words], np.int32)
     own = np.zeros((words, rank), np.float32)
     own_n = add(own, flat, first, units, *shared.value)
+    shared.destroy()
     sketch += own * (max(found[0]["n"] if found else 0, 1) / max(own_n, 1))
     basis, size, _ = np.linalg.svd(sketch, full_matrices=False)
     return (basis[:, size > 1e-9 * max(size.max(), 1e-30)] * idf[:, None]).astype(np.float32)
@@ -286,8 +289,11 @@ class Checker:
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         self.key, self.mask = key[begin], np.bitwise_or.reduceat(mask, begin)
         self.dense = self.held = None
-        if len(items.words) * self.words <= 1 << 22:  # same answers, looked up faster
-            self.dense = np.zeros(len(items.words) * self.words, np.uint64)
+
+    def spread(self) -> None:
+        """Same answers, looked up faster; made in the task, so that it doesn't travel."""
+        if self.dense is None and len(self.length) * self.words <= 1 << 22:
+            self.dense = np.zeros(len(self.length) * self.words, np.uint64)
             self.dense[self.key] = self.mask
             self.held = self.dense != 0
 
@@ -397,6 +403,7 @@ def _search(tokens: DataFrame, keep: list[str], items: Items, idf, latent, kind,
         import pyarrow as pa
 
         latent, targets, sequences, ids, checker = shared.value
+        checker.spread()
         for batch in batches:
             for a, b, flat, first, units in _pieces(batch, kind):
                 if not len(flat):
@@ -436,7 +443,9 @@ def _search(tokens: DataFrame, keep: list[str], items: Items, idf, latent, kind,
                         pa.array([n for n, _ in best.values()], pa.int32()), pa.array([n for _, n in best.values()], pa.int32())],
                         [*keep, "item_id", "common_words", "item_words"])
 
-    return tokens.mapInArrow(run, f"{fields}, item_id {item_type}, common_words int, item_words int")
+    found = settle(tokens.mapInArrow(released(run), f"{fields}, item_id {item_type}, common_words int, item_words int"), "leaks")
+    shared.destroy()
+    return found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, s: Settings = Settings()) -> DataFrame:
@@ -477,4 +486,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = N
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return settle(out, "leaks")
+    return out
