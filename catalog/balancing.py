@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from catalog.clusters import NEAR
 from catalog.inputs import VEC, event_vectors, vectors
 from catalog.registry import query
+from tracewright.functions import vectors as vc
 from tracewright.operators import balance as bl
 from tracewright.operators import counts as ct
-from tracewright.session import settle
+from tracewright.plans import oversample as ov
+from tracewright.session import new_path, settle
+from tracewright.sources import tables as tb
 
 COUNTS = """cnt AS (SELECT label, count(*) AS n, (SELECT max(c) FROM (SELECT count(*) AS c FROM vec GROUP BY label)) - count(*) AS need FROM vec GROUP BY label),
 need AS (SELECT * FROM cnt WHERE need > 0)"""
@@ -144,3 +147,22 @@ def variants(spark, sf):
     out = bl.balance_variants(vectors(spark, sf), ["smote", "svm_smote", "kmeans_smote"])
     ok = (F.col("balance_improvement") > 0) & F.col("synthetic_quality").between(0, 1) & F.col("diversity_score").between(-1, 1)
     return out.select("variant", "n_rows", "n_synthetic", ok.alias("in_range"))
+
+
+@query("b11_oversampling_batch", """WITH f AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 'auth' ELSE 'vpn' END AS log_type, label, e AS embedding_type
+    FROM embeddings, (SELECT unnest(['raw', 'turned']) AS e)),
+  c AS (SELECT log_type, embedding_type, label, count(*) AS n FROM f GROUP BY ALL)
+  SELECT log_type, embedding_type, v AS variant, 'done' AS status, sum(n)::BIGINT AS n_before, (max(n) * count(*))::BIGINT AS n_after, 1.0::DOUBLE AS max_ratio_after,
+    (max(n) * count(*))::BIGINT AS rows_read
+  FROM c, (SELECT unnest(['smote', 'svm_smote']) AS v) GROUP BY 1, 2, 3""")
+def oversampling_batch(spark, sf):
+    """Two log types, two embeddings, two variants that meet deficits exactly; the job is stopped after three cells and started again."""
+    v = vectors(spark, sf).select(F.col("row_id").cast("string").alias("row_id"), F.when(F.col("row_id") % 3 == 0, "auth").otherwise("vpn").alias("log_type"), vc.as_doubles(F.col("vec")).alias("embedding"),
+                                  F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (i == F.col("label")).cast("tinyint")).alias("label_vector"))
+    turned = v.withColumn("embedding", F.reverse("embedding"))
+    store, out = new_path(spark, "features"), new_path(spark, "batch")
+    tb.write_features(v.withColumn("embedding_type", F.lit("raw")).unionByName(turned.withColumn("embedding_type", F.lit("turned"))), store)
+    ov.run(spark, store, out, ["smote", "svm_smote"], most_cells=3)
+    ov.run(spark, store, out, ["smote", "svm_smote"])
+    read = ov.read_balanced(spark, out).groupBy(*ov.CELL).agg(F.count("*").alias("rows_read"))
+    return ov.read_manifest(spark, out).join(read, ov.CELL, "left").select(*ov.CELL, "status", "n_before", "n_after", "max_ratio_after", "rows_read")

@@ -44,6 +44,14 @@ def text_files(spark, sf):
     return lg.text_files(lg.scan_lines(spark, logs), logs).select(folder("rel_path").alias("folder"))
 
 
+@query("s06_text_and_binary", """SELECT DISTINCT CASE WHEN lang = 'fr' THEN 'fr/_kept' ELSE 'other/plain' END || '/host=' || floor(doc_id / 1000)::BIGINT AS folder
+  FROM documents WHERE lang IS DISTINCT FROM 'de'""")
+def text_and_binary_files(spark, sf):
+    """Files with NUL bytes aren't text, those below a folder whose name begins with _ are."""
+    root = odd_tree(spark, sf)
+    return lg.text_files(lg.scan_lines(spark, root), root).select(folder("rel_path").alias("folder")).distinct()
+
+
 @query("j01_labelled_lines", f"""WITH {TREE} SELECT n.folder, split_part(n.folder, '/', 1) AS tenant, n.line_no,
   array_to_string(list_transform(coalesce(t.labels, []), lambda x: lower(replace(x, '-', '_'))), ',') AS labels
   FROM num n LEFT JOIN tlast t USING (folder, line_no) WHERE trim(n.value) <> ''""")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.inputs import EVENTS, VEC, documents, labelled_events, table, vectors
 from catalog.registry import query
+from tracewright.functions import labels as lb
 from tracewright.functions import text as tx
 from tracewright.functions import vectors as vc
 from tracewright.operators import embedding as em
+from tracewright.operators import masked as mk
 from tracewright.operators import skipgram as sg
 from tracewright.operators import vector_stats as vs
+from tracewright.plans import features as ft
 from tracewright.session import settle
 
 WIDTH = 64
@@ -234,7 +238,35 @@ def valid_vectors(spark, sf):
     return rows.where(F.size("v") > 0).groupBy("log_type").agg(F.count("*").alias("n"))
 
 
+@query("p09_stacked_features", f"""WITH {EVENTS} SELECT log_type, e AS embedding_type, count(*) AS n, sum(len(labels))::BIGINT AS bits
+  FROM lab, (SELECT unnest(['a', 'b']) AS e) WHERE len(labels) > 0 GROUP BY 1, 2""")
+def stacked_features(spark, sf):
+    """Two feature tables are stacked and given the classes of both; rows without any label go, with their vectors."""
+    rows = labelled_events(spark, sf).where(F.size("labels") > 0).select("row_id", "log_type", "labels", F.array(F.col("value")).alias("embedding"))
+    out = ft.realign({"a": rows, "b": rows})
+    ones = F.aggregate("label_vector", F.lit(0).cast("bigint"), lambda n, b: n + b)
+    return out.where(lb.has_any_bit(F.col("label_vector")) == 1).groupBy("log_type", "embedding_type").agg(F.count("*").alias("n"), F.sum(ones).alias("bits"))
+
+
 @query("x11_word_set", "SELECT page_id AS row_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(translate(url, '_-/', '   ')), '\\s+'), lambda x: x <> ''))), ' ') AS words FROM pages")
 def word_set(spark, sf):
     text = F.translate("url", "/", " ")
     return table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), F.array_join(F.array_sort(tx.word_set(text)), " ").alias("words"))
+
+
+@query("f13_masked_reconstruction", """SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 100 = 0) AS n_planted, count(*) FILTER (vec_id % 100 = 0) AS planted_first,
+  true AS better_than_mean FROM embeddings""")
+def masked_reconstruction(spark, sf):
+    """Sixteen entries that depend on four numbers of each row; every hundredth row has them in reverse order, so that its entries
+    don't go together. These rows must have the largest errors, and the others must be predicted better than by the mean."""
+    part = lambda i, k: F.lit(float(np.cos(1.7 * i * (k + 1) + k)))
+    entries = [sum((part(i, k) * F.col("vec")[k].cast("double") for k in range(4)), F.col("vec")[i].cast("double") * 0.02) for i in range(16)]
+    rows = vectors(spark, sf).select("row_id", F.array(*entries).alias("v"))
+    rows = settle(rows.select("row_id", F.when(F.col("row_id") % 100 == 0, F.reverse("v")).otherwise(F.col("v")).alias("v")), "low-rank")
+    scored = settle(mk.score(rows, "v", mk.fit(rows, "v", 4)), "scored")
+    planted = F.col("row_id") % 100 == 0
+    n = scored.where(planted).count()
+    first = scored.orderBy(F.desc("score"), "row_id").limit(n).agg(F.count_if(planted).alias("n")).scalar()
+    spread = vs.matrix_stats(rows, "v", 16).select("std").scalar()
+    return scored.agg(F.count("*").alias("n_rows"), F.count_if(planted).alias("n_planted"), F.avg(F.when(~planted, F.col("score"))).alias("error")).select(
+        "n_rows", "n_planted", first.alias("planted_first"), (F.col("error") * 4 < spread * spread).alias("better_than_mean"))

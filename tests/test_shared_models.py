@@ -8,12 +8,15 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tracewright.operators import balance as bl
 from tracewright.operators import clustering as cl
 from tracewright.operators import isolation as iso
 from tracewright.operators import linkage as lk
+from tracewright.operators import masked as mk
 from tracewright.operators import models as md
 from tracewright.operators import multilabel as ml
 from tracewright.operators import shared_scan as ss
+from tracewright.operators import vector_stats as vs
 
 
 def table(spark, x, start=0):
@@ -230,3 +233,86 @@ def test_cells_of_classes(spark):
     assert all(r["y_true"] == y[r["row_id"], 0] for r in by_class["a"])
     hit = [(r["score"] > 0.5) == bool(r["y_true"]) for r in by_class["a"] + by_class["b"]]
     assert np.mean(hit) > 0.6
+
+
+# SVM oversampling
+
+def test_ring_is_seeded_along_its_rim(spark):
+    """A disc of rare rows inside a ring of common ones: support vectors lie on the rim of the disc, not at its centre."""
+    rng = np.random.default_rng(3)
+    angle, radius = rng.uniform(0, 2 * np.pi, 150), np.sqrt(rng.uniform(0, 1, 150))
+    disc = np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1)
+    angle, radius = rng.uniform(0, 2 * np.pi, 500), rng.uniform(1.3, 2, 500)
+    ring = np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1)
+    rows = table(spark, np.concatenate([disc, ring])).withColumn("label", F.when(F.col("row_id") < 150, 1).otherwise(0))
+    scored = {r["row_id"]: r["margin"] for r in bl.margins(rows, "label", gamma=1.0).collect()}
+    inside = np.array([scored[i] <= 1 for i in range(150)])
+    r = np.linalg.norm(disc, axis=1)
+    assert 0 < inside.sum() < 150 and r[inside].mean() > r[~inside].mean() + 0.2
+    assert np.mean([scored[i] > 0 for i in range(650)]) > 0.97
+    made = bl.svm_smote(rows, gamma=1.0).collect()
+    assert len(made) == 350 and {m["seed_id"] for m in made} == set(np.flatnonzero(inside))
+    for m in made[::7]:
+        a, b, p = disc[m["seed_id"]], disc[m["neighbor_id"]], np.array(m["vec"])
+        t = (p - a) @ (b - a) / max((b - a) @ (b - a), 1e-12)
+        assert -1e-9 <= t <= 1 + 1e-9 and np.allclose(p, a + t * (b - a))
+
+
+def test_products_of_fourier_features_stand_for_the_kernel(spark):
+    x = np.random.default_rng(4).normal(size=(40, 3))
+    f = np.array([r["features"] for r in bl.fourier_features(table(spark, x), 3, 4000, 0.7, 1).orderBy("row_id").collect()])
+    want = np.exp(-0.7 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.abs(f @ f.T - want).max() < 0.1
+
+
+# masked reconstruction
+
+def low_rank(seed=1, n=600):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3)) @ rng.normal(size=(3, 20)) + rng.normal(size=(n, 20)) * 0.05 + 2.0
+    bad = np.arange(0, n, 60)
+    x[bad] = np.roll(x[bad], 7, axis=1)
+    return x, bad
+
+
+def auc(score, bad):
+    order = np.argsort(np.argsort(score))
+    pos = np.isin(np.arange(len(score)), bad)
+    return (order[pos].sum() - pos.sum() * (pos.sum() - 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+def test_masked_errors_find_rows_that_break_the_pattern(spark):
+    x, bad = low_rank()
+    rows = table(spark, [*x, None])
+    basis = mk.fit(rows.repartition(4), "vec", 3)
+    got = mk.score(rows, "vec", basis).orderBy("row_id").collect()
+    assert got[-1]["score"] is None
+    mine = np.array([r["score"] for r in got[:-1]])
+    pca = {r["row_id"]: r["score"] for r in vs.reconstruction_scores(table(spark, x), "vec", 3).collect()}
+    assert set(np.argsort(-mine)[:10]) == set(bad) and auc(mine, bad) >= auc(np.array([pca[i] for i in range(600)]), bad)
+    again = {r["row_id"]: r["score"] for r in mk.score(rows.repartition(7), "vec", mk.fit(rows.repartition(1), "vec", 3)).collect()}
+    assert np.allclose(mine, [again[i] for i in range(600)])
+
+
+def test_masked_errors_equal_a_plain_version():
+    x, _ = low_rank(2, 40)
+    rng = np.random.default_rng(3)
+    basis = mk.Basis(x.mean(axis=0), rng.normal(size=(20, 3)), 0.1)
+    hidden = mk.hidden_entries(np.arange(40), 20, 0.15, 5)
+    assert (hidden.sum(axis=1) == 3).all() and len({h.tobytes() for h in hidden}) > 30
+    z = basis.codes(x - basis.mean, 1 - hidden)
+    for i in range(40):
+        seen = hidden[i] == 0
+        b = basis.matrix[seen]
+        assert np.allclose(z[i], np.linalg.solve(b.T @ b + 0.1 * np.eye(3), b.T @ (x[i] - basis.mean)[seen]))
+
+
+def test_masked_odd_tables(spark):
+    assert mk.fit(table(spark, []), "vec") is None
+    x, _ = low_rank(4, 60)
+    lists = [v.tolist() for v in x]
+    lists[3][2] = None
+    lists[5] = lists[5][:10]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "row_id bigint, vec array<double>")
+    got = mk.score(rows, "vec", mk.fit(rows, "vec", 3)).collect()
+    assert len(got) == 60 and all(r["score"] is not None and np.isfinite(r["score"]) for r in got)

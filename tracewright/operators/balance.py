@@ -8,20 +8,22 @@ going to the first rows by draw order; m is met exactly.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tracewright.functions import vectors as vc
 from tracewright.functions.numbers import draw_key, draw_unit, hex_number
+from tracewright.operators import multilabel as ml
 from tracewright.operators.clustering import kmeans, silhouette_squared
 from tracewright.operators.counts import balance_improvement
 from tracewright.operators.joining import lookup_join
 from tracewright.operators.neighbors import nearest
-from tracewright.operators.ranking import draw_rank, exact_quantile
-from tracewright.operators.vector_stats import cluster_centroids, project, width_of
+from tracewright.operators.pooling import matrix_of
+from tracewright.operators.ranking import draw_rank
+from tracewright.operators.vector_stats import cluster_centroids, matrix_stats, project, width_of
 from tracewright.session import settle
 
 # Copies of one seed row are made in runs of this length, so a tiny class that
@@ -144,25 +146,70 @@ def adasyn(rows: DataFrame, k: int = 5, row_id: str = "row_id", vector: str = "v
     return _between(spread, points, label, k, near, seed)
 
 
-def svm_smote(rows: DataFrame, k: int = 5, share: float = 0.5, row_id: str = "row_id", vector: str = "vec",
-              label: str = "label", seed: int = 42) -> DataFrame:
-    """Like ``smote``, seeded by the rows of each class nearest to its linear decision boundary.
+def fourier_features(points: DataFrame, width: int, features: int, gamma: float, seed: int, out: str = "features") -> DataFrame:
+    """Add random features whose products stand for exp(-gamma * squared distance); they depend on the seed alone."""
+    rng = np.random.default_rng(seed)
+    turn, shift = rng.normal(size=(width, features)) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, features)
+    shared = points.sparkSession.sparkContext.broadcast((turn, shift))
+    schema = T.StructType([*points.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    place = points.columns.index("vec")
 
-    The boundary is a linear one-against-the-rest machine; the given share of
-    each class with the smallest absolute margin are the seeds.
+    def run(batches):
+        import pyarrow as pa
+
+        turn_, shift_ = shared.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
+                x = np.sqrt(2 / len(shift_)) * np.cos(matrix_of(batch.column(place), len(turn_))[0] @ turn_ + shift_)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
+
+    return points.mapInArrow(run, schema)
+
+
+def margins(points: DataFrame, label: str, features: int = 256, gamma: float | None = None, seed: int = 42) -> DataFrame:
+    """``points`` with ``margin``: how far a row lies on the own side of the boundary of its class against all others.
+
+    The boundary is that of a machine with a Gaussian kernel, by random Fourier
+    features; ``gamma`` is 1 / (width * variance of all entries) unless given.
+    All classes are trained in the same passes.
     """
-    points = _points(rows, row_id, vector, label)
-    need = settle(deficits(points, label), "need")
+    width = width_of(points, "vec")
     names = sorted(r[label] for r in points.select(label).distinct().collect())
+    if gamma is None:
+        spread = matrix_stats(points, "vec", width).first()["std"] if width else None
+        gamma = 1.0 / (width * spread * spread) if spread else 1.0
     index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)) - 1
-    data = points.withColumn("f_", array_to_vector("vec")).withColumn("y_", index.cast("double"))
-    model = OneVsRest(classifier=LinearSVC(maxIter=20, featuresCol="f_", labelCol="y_"), featuresCol="f_",
-                      labelCol="y_", predictionCol="p_", parallelism=4).fit(data)
-    margin = F.abs(F.get(vector_to_array("rawPrediction"), F.col("y_").cast("int")))
-    scored = model.transform(data).select("row_id", "vec", label, margin.alias("margin"))
-    scored = settle(scored.join(need.select(label), label, "left_semi"), "margin")
-    cuts = exact_quantile(scored, "margin", share, [label]).withColumnRenamed("quantile", "cut")
-    seeds = lookup_join(scored, cuts, [label], "inner", row_bytes=64).where(F.col("margin") <= F.col("cut")).select("row_id", "vec", label)
+    ready = settle(fourier_features(points, width, features, gamma, seed).withColumn("y_", index.cast("int")), "fourier")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: (i == F.col("y_")).cast("double"))
+    weights = ml.fit(settle(ready.select(F.col("features").alias("vec"), bits.alias("bits")), "margin-train"), len(names), tolerance=1e-4, hinge=True)
+    shared = points.sparkSession.sparkContext.broadcast(weights.matrix)
+    places = [ready.columns.index(c) for c in ("features", "y_")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, own = matrix_of(batch.column(places[0]), features)[0], shared.value[batch.column(places[1]).to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((x * own[:, :-1]).sum(axis=1) + own[:, -1])], [*batch.schema.names, "margin"])
+
+    return ready.mapInArrow(run, T.StructType([*ready.schema.fields, T.StructField("margin", T.DoubleType())])).drop("features", "y_")
+
+
+def svm_smote(rows: DataFrame, k: int = 5, row_id: str = "row_id", vector: str = "vec",
+              label: str = "label", seed: int = 42, gamma: float | None = None) -> DataFrame:
+    """Like ``smote``, seeded by the rows of each class inside the margin of its boundary against the rest.
+
+    These are the support vectors of a machine with a Gaussian kernel: rows
+    whose signed margin doesn't exceed 1. A class without any is seeded by all of its rows.
+    """
+    points = _points(rows, row_id, vector, label)
+    need = settle(deficits(points, label), "need")
+    scored = settle(margins(points, label, gamma=gamma, seed=seed).join(need.select(label), label, "left_semi"), "margin")
+    near = scored.where(F.col("margin") <= 1)
+    bare = need.select(label).join(near.select(label).distinct(), label, "left_anti")
+    seeds = near.unionByName(scored.join(bare, label, "left_semi")).select("row_id", "vec", label)
     return _seeded(points, seeds, need, label, k, seed)
 
 

@@ -91,7 +91,7 @@ def _labels(column, k: int) -> np.ndarray:
     return (matrix_of(column, k)[0] > 0).astype(np.float64)
 
 
-def _evaluate(points: DataFrame, trials: dict[int, np.ndarray], k: int, width: int) -> dict[int, tuple[float, np.ndarray]]:
+def _evaluate(points: DataFrame, trials: dict[int, np.ndarray], k: int, width: int, hinge: bool = False) -> dict[int, tuple[float, np.ndarray]]:
     """Loss and gradient for the points of all classes, in one pass."""
     shared = points.sparkSession.sparkContext.broadcast((np.array(list(trials)), np.stack(list(trials.values()))))
 
@@ -105,8 +105,14 @@ def _evaluate(points: DataFrame, trials: dict[int, np.ndarray], k: int, width: i
                 batch = whole.slice(a, CHUNK)
                 x, y = matrix_of(batch.column(0), width)[0].astype(np.float64, copy=False), _labels(batch.column(1), k)[:, classes]
                 z = x @ w[:, :-1].T + w[:, -1]
-                loss += (np.logaddexp(0.0, z) - y * z).sum(axis=0)
-                error = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))) - y
+                if hinge:
+                    side = 2.0 * y - 1.0
+                    short = np.maximum(0.0, 1.0 - side * z)
+                    loss += (short * short).sum(axis=0)
+                    error = -2.0 * side * short
+                else:
+                    loss += (np.logaddexp(0.0, z) - y * z).sum(axis=0)
+                    error = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))) - y
                 grad[:, :-1] += error.T @ x
                 grad[:, -1] += error.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(loss), pa.array(grad.tolist(), pa.list_(pa.float64()))], ["class", "loss", "grad"])
@@ -138,12 +144,12 @@ def label_counts(points: DataFrame, k: int) -> tuple[int, np.ndarray]:
     return found.get(-1, 0), np.array([found.get(i, 0) for i in range(k)])
 
 
-def fit(points: DataFrame, k: int, most_steps: int = 1000, tolerance: float = TOLERANCE) -> Weights:
+def fit(points: DataFrame, k: int, most_steps: int = 1000, tolerance: float = TOLERANCE, hinge: bool = False) -> Weights:
     """Models of the ``k`` classes over (vec, bits), settled; half the squared coefficients are added to the summed loss.
 
     ``tolerance`` is for the gradient of the mean loss. A class without
     positive or without negative rows gets no model but that constant. Null
-    entries of a vector count as 0.
+    entries of a vector count as 0. ``hinge`` takes squared hinge losses, for margins, in place of logistic ones.
     """
     width = width_of(points, "vec")
     n, held = label_counts(points, k)
@@ -153,7 +159,7 @@ def fit(points: DataFrame, k: int, most_steps: int = 1000, tolerance: float = TO
     trials, scans = {c: next(r) for c, r in runs.items()}, 1
     while trials:
         scans += 1
-        answers = _evaluate(points, trials, k, width)
+        answers = _evaluate(points, trials, k, width, hinge)
         nxt = {}
         for c in trials:
             try:

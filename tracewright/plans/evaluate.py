@@ -84,7 +84,7 @@ def run(spark: SparkSession, features: str, out: str, trees: int = 100, folds: i
         rows = rows.withColumn("label", lb.has_any_bit(F.col("label_vector")))
         values = settle(configuration_metrics(rows, "embedding", "label", "id", trees, folds, seed), "metrics")
         title = f"{item['log_type']} / {item['embedding_type']}"
-        tb.write_report(evaluation_report(values, title), f"{out}/reports/{item['log_type']}/{item['embedding_type']}")
+        tb.write_report(evaluation_report(values, title, item["log_type"], item["embedding_type"]), f"{out}/reports/{item['log_type']}/{item['embedding_type']}")
         (values.withColumn("log_type", F.lit(item["log_type"])).withColumn("embedding_type", F.lit(item["embedding_type"]))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("log_type", "embedding_type").parquet(f"{out}/metrics"))
