@@ -89,12 +89,12 @@ def trained_subwords(spark, sf):
     with a third made-up word is added for each text. Both words of a pair are used alike, so they must be nearer to each
     other than to nine of ten other words; an inflection that was never seen must be near its stem."""
     rows = settle(_tokens(spark, sf).select("row_id", "tokens"), "tokens")
-    common = em.vocabulary_counts(rows).orderBy(F.desc("n"), "token").offset(20).limit(1).first()["token"]
+    common = em.vocabulary_counts(rows).orderBy(F.desc("n"), "token").offset(8).limit(1).first()["token"]
     turned = F.transform("tokens", lambda t, i: F.when((t == common) & ((i + F.col("row_id")) % 3 == 0), F.lit("qwzyxk")).when((t == common) & ((i + F.col("row_id")) % 3 == 1), F.lit("vujhgm")).otherwise(t))
     planted = rows.select("row_id", turned.alias("tokens")).unionByName(spark.range(5).select((-F.col("id") - 1).alias("row_id"), F.array(F.lit("qqlonely"), F.lit("qqlonely")).alias("tokens")))
-    vocab, buckets = sg.train(planted, width=64, buckets=4000, epochs=3)
+    vocab, buckets = sg.train(planted, width=64, buckets=100_000, epochs=5)
     asked = spark.createDataFrame([(1, ["vujhgms"]), (2, ["vujhgm"]), (3, ["qwzyxk"])], "row_id bigint, tokens array<string>")
-    found = {r["row_id"]: list(r["embedding"]) for r in em.subword_pool(asked, vocab, buckets, 4000, 64).collect()}
+    found = {r["row_id"]: list(r["embedding"]) for r in em.subword_pool(asked, vocab, buckets, 100_000, 64).collect()}
     near = lambda i: vc.cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in found[i]]))
     told = vocab.select("token", near(1).alias("inflection"), near(2).alias("alike"))
     value = lambda name, column: F.max(F.when(F.col("token") == name, F.col(column)))
