@@ -89,6 +89,21 @@ def test_subwords_equal_plain_means(spark, limit):
     check(spark, em.subword_pool(df, v, b, 50, 5, limit=limit), [(i, t, plain_pool(t, vocab, 5, buckets, 50)) for i, t in rows])
 
 
+def test_rows_leave_blocks_with_each_number_once(spark):
+    """However many blocks the vectors need, a row's partial sums are as long as one vector."""
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, rng.normal(size=7).tolist()) for i in range(200)], "id bigint, vec array<double>")
+    entries = spark.createDataFrame([(r, [(int(i), 1 + r % 2) for i in np.sort(rng.choice(200, 50, False))]) for r in range(40)],
+                                    "__row bigint, uses array<struct<id: bigint, n: bigint>>")
+    table = {r["id"]: np.array(r["vec"]) for r in vectors.collect()}
+    for part, slices in ((1, 3), (3, 2), (7, 1)):
+        got = pl._block_sums(entries, vectors, 7, part, slices).collect()
+        for r in entries.collect():
+            own = sorted((g["at"], g["total"], g["weight"]) for g in got if g["__row"] == r["__row"])
+            assert [x for _, total, _ in own for x in total] == pytest.approx(sum(table[u["id"]] * u["n"] for u in r["uses"]))
+            assert all(weight == [sum(u["n"] for u in r["uses"])] for *_, weight in own)
+
+
 def test_partitions_do_not_matter(spark):
     rows, words = rows_and_words(5)
     rng = np.random.default_rng(6)
