@@ -104,6 +104,22 @@ def test_rows_leave_blocks_with_each_number_once(spark):
             assert all(weight == [sum(u["n"] for u in r["uses"])] for *_, weight in own)
 
 
+def test_unknown_words_are_built_in_their_rows(spark, monkeypatch):
+    """A vocabulary beyond the limit doesn't make a table of all words that aren't in it."""
+    rows, words = rows_and_words(9, 120)
+    rows += [(900, ["walking", "walks", "é", "w3", "x"])]
+    rng = np.random.default_rng(10)
+    vocab = {w: rng.normal(size=5).tolist() for w in [*words[:60], "hot"]}
+    buckets = {b: rng.normal(size=5).tolist() for b in range(8)}
+    v = spark.createDataFrame(list(vocab.items()), "token string, vec array<double>")
+    b = spark.createDataFrame(list(buckets.items()), "bucket int, vec array<double>")
+    df = spark.createDataFrame(rows, "row_id bigint, tokens array<string>").repartition(3)
+    names, write = [], pl.settle
+    monkeypatch.setattr(pl, "settle", lambda d, name="step": names.append(name) or write(d, name))
+    check(spark, em.subword_pool(df, v, b, 9, 5, limit=2500), [(i, t, plain_pool(t, vocab, 5, buckets, 9)) for i, t in rows])
+    assert "pool-others" in names and "pool-vocabulary" not in names
+
+
 def test_partitions_do_not_matter(spark):
     rows, words = rows_and_words(5)
     rng = np.random.default_rng(6)
