@@ -337,3 +337,27 @@ def test_mean_pool_hot_tokens_beyond_broadcast(spark):
     large = {r.row_id: list(r.embedding) for r in em.mean_pool(rows, vocab, 2, limit=0).collect()}
     assert small == large and small[99] == small[100] == [0.0, 0.0]
     assert small[5] == pytest.approx([8 / 8, 6 / 8])
+
+
+def test_a_row_is_sent_to_few_blocks(spark):
+    """Copies of a row grow with the blocks of the other side, so these are wide; all pairs meet once."""
+    import pandas as pd
+
+    from tracewright.operators import blocks as bk
+
+    rows = spark.createDataFrame([(0, i, [float(i), 1.0]) for i in range(400)], "grp int, id bigint, vec array<double>")
+    one = lambda x, y: pd.DataFrame({"x": [len(x)], "y": [len(y)]})
+    got = bk.pair_blocks(rows, rows, one, "x bigint, y bigint", block_rows=4, local_bytes=0).collect()
+    assert sum(r["x"] * r["y"] for r in got) == 400 * 400
+    assert sum(r["x"] for r in got) <= 400 * 8
+    assert [bk.block_count(n, 2048, 32, 8) for n in (1, 5000, 120_000, 720_000, 6_000_000)] == [1, 3, 8, 11, 92]
+
+
+def test_links_of_a_pair_of_blocks_are_folded():
+    import pandas as pd
+
+    from tracewright.operators.clustering import _stars
+
+    got = _stars(pd.DataFrame({"a": [5, 4, 9, 9, 7], "b": [4, 2, 8, 8, 9]}))
+    assert sorted(zip(got["a"], got["b"])) == [(4, 2), (5, 2), (8, 7), (9, 7)]
+    assert not len(_stars(pd.DataFrame({"a": [], "b": []})))
