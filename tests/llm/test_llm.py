@@ -74,6 +74,20 @@ def test_secret_network_learns():
     assert yes[np.array(truth[600:]) == 1].mean() > 0.95 and yes[np.array(truth[600:]) == 0].mean() < 0.05
 
 
+def test_secret_network_takes_every_window(spark):
+    """All findings and plain words are trained on, in several groups, whatever the partitions."""
+    rng = random.Random(4)
+    texts = [f"{prose(rng, 9)} {'token=' + ''.join(rng.choice('0123456789abcdef') for _ in range(24)) if i % 2 else prose(rng, 1)} {prose(rng, 5)}" for i in range(300)]
+    docs = spark.createDataFrame([(i % 280, texts[i % 280]) for i in range(300)], "doc_id bigint, text string")
+    scanned = secret_scan.settle(secret_scan.scan(docs, ["doc_id"]), "scanned")
+    found = scanned.collect()
+    windows = secret_scan.labelled_windows(scanned).collect()
+    assert sum(r["n"] for r in windows if r["truth"] == 1) == sum(len(r["found"]) // secret_scan.WIDTH for r in found) == 150
+    assert sum(r["n"] for r in windows if r["truth"] == 0) == sum(len(r["plain"]) > 0 for r in found)
+    net, again = (secret_scan.fit(scanned.repartition(n), group=60) for n in (2, 7))
+    assert net.threshold == pytest.approx(again.threshold) and np.allclose(net.kernel, again.kernel)
+
+
 def test_secret_odd_rows(docs, none):
     assert secret_scan.find_secrets(docs, ["doc_id", "score"]).count() == docs.count()
     assert secret_scan.find_secrets(none).count() == 0
