@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import inputs
 from tracewright.functions import text as tx
 from tracewright.operators import counts as ct
 from tracewright.plans import ingest
@@ -129,3 +130,11 @@ def test_sample_logs(spark):
     assert lists["wp-error"] == ["attacker_http", "dirb", "foothold", "wpscan"]
     rules = lg.read_label_rules(spark, f"{SAMPLE}/labels")
     assert rules.select("rule").distinct().count() == 13
+
+
+def test_files_of_a_tree_are_written_by_many_tasks(spark):
+    files = 10 * inputs.FILES_A_TASK
+    rows = spark.range(4 * files).select(F.pmod("id", F.lit(files)).alias("host"), F.lit("x").alias("value"))
+    tasks = inputs.by_files(rows, files, "host").select("host", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() == files and tasks.select("task").distinct().count() == 10
+    assert inputs.by_files(rows.limit(0), 0, "host").count() == 0
