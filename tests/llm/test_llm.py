@@ -502,6 +502,16 @@ def test_guesses_above_chance_stay(spark, monkeypatch):
     assert {r["text"] for r in corpus_pipeline.language(spark, docs, "").collect()} == {"half sure", "sure"}
 
 
+def test_the_recognised_language_goes_on(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40, "aeiouklm") if i % 2 else prose(rng, 40, "xyzwvaei"), "fi" if i % 2 else "xx") for i in range(200)]
+    odd = [(900, prose(rng, 40, "aeiouklm"), None), (902, prose(rng, 40, "xyzwvaei"), None), (904, "12 !", "fi")]
+    docs = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.language(spark, docs, ""), "")
+    got = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert kept.columns == docs.columns and got[900] == "fi" and got[902] == "xx" and 904 not in got
+
+
 @pytest.mark.parametrize("crc", [(5, 0), (7, 2)])
 def test_remainder_of_id(spark, crc):
     from tracewright.llm.common import remainder_of_id
