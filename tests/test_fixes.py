@@ -121,3 +121,25 @@ def test_registered_models_have_the_operators_sizes(spark, monkeypatch):
     for name, query in (("mean_pool", "f02_j04_mean_pool"), ("subword_pool", "f04_subword_pool")):
         pooled = sizes(embedding, name, query)
         assert pooled["width"] == 300 and len(pooled["vocab"].select("vec").first()["vec"]) == 300
+
+
+def test_the_reach_of_long_rows_keeps_all_neighbours():
+    import numpy as np
+    import pandas as pd
+
+    from tracewright.operators import neighbors as nb
+
+    rng = np.random.default_rng(4)
+    d2 = rng.integers(0, 500, (40, 3001)).astype(float)  # with ties
+    for k in (1, 4, 11):
+        exact = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        reach = nb._reach_of_rows(d2, k)
+        assert (reach >= exact).all() and ((d2 <= reach[:, None]).sum(1) >= k).all()
+        assert (nb._reach_of_rows(d2[:, :k], k) == d2[:, :k].max(1)).all()
+    side = lambda n, first: pd.DataFrame({"grp": 0, "id": np.arange(n) + first, "vec": list(rng.normal(size=(n, 5))), "ids": [np.array([i + first]) for i in range(n)]})
+    x, sides, top = side(30, 0), [side(2000, 100), side(1500, 5000)], nb._top_of_block(4)
+    for y in (*sides, sides[0]):  # what is kept of one right side isn't used for another
+        got = top(x, y)
+        a, b = np.stack(x["vec"]), np.stack(y["vec"])
+        want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+        assert all(np.array_equal(ids, y["id"].to_numpy()[np.argsort(w, kind="stable")[:4]]) for ids, w in zip(got["ids"], want))

@@ -34,8 +34,13 @@ MAX_PIVOTS = 256
 LOCAL_BYTES = 16 << 20
 
 
-def pairwise_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+def pairwise_squared(a: np.ndarray, b: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances; ``norms`` are those of the rows of ``b``, if known."""
+    norms = (b * b).sum(1) if norms is None else norms
+    d2 = (a * a).sum(1)[:, None] + norms[None, :]
+    product = a @ b.T
+    product *= 2.0
+    d2 -= product
     return np.maximum(d2, 0.0, out=d2)
 
 
@@ -167,7 +172,9 @@ def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, re
             return pd.DataFrame(columns=out_names)
         across = block_rows if fold else len(y)
         step = max(1, block_rows * block_rows // across)
-        parts = [fn(x.iloc[i:i + step], y.iloc[j:j + across]) for i in range(0, len(x), step) for j in range(0, len(y), across)]
+        # A part of the right block stays one object, so fn can keep what it made of it.
+        others = [y.iloc[j:j + across] for j in range(0, len(y), across)]
+        parts = [fn(x.iloc[i:i + step], other) for i in range(0, len(x), step) for other in others]
         out = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
         return fold(out) if fold else out
 

@@ -35,14 +35,34 @@ def distinct_vectors(points: DataFrame, keep: int) -> DataFrame:
                       (F.size("ids") > 1).alias("copies"))
 
 
+# Columns whose minimum stands for them where a bound is looked for.
+MINIMA = 64
+
+
+def _reach_of_rows(d2: np.ndarray, k: int) -> np.ndarray:
+    """For each row, a value that its ``k`` smallest entries don't exceed and few others stay below.
+
+    Where a row is long, that is the k-th smallest of the minima of MINIMA columns each: k entries at least are no larger.
+    """
+    whole = d2.shape[1] // MINIMA
+    if whole >= 4 * k:
+        minima = d2[:, :whole * MINIMA].reshape(len(d2), MINIMA, whole).min(axis=1)
+        d2 = np.concatenate([minima, d2[:, whole * MINIMA:]], axis=1)
+    return np.partition(d2, k - 1, axis=1)[:, k - 1]
+
+
 def _top_of_block(keep: int):
+    held: list = [None, None, None]  # the right side last seen, its matrix and its squared norms
+
     def top(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b = stack(x["vec"]), stack(y["vec"])
+        if held[0] is not y:
+            matrix = stack(y["vec"])
+            held[:] = y, matrix, (matrix * matrix).sum(1)
+        a, b, norms = stack(x["vec"]), held[1], held[2]
         first = y["id"].to_numpy()
-        d2 = pairwise_squared(a, b)
-        k = min(keep, len(b))
-        edge = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        slack = 1e-9 * ((a * a).sum(1) + (b * b).sum(1).max() + 1.0)
+        d2 = pairwise_squared(a, b, norms)
+        edge = _reach_of_rows(d2, min(keep, len(b)))
+        slack = 1e-9 * ((a * a).sum(1) + norms.max() + 1.0)
         r, c = np.nonzero(d2 <= (edge + slack)[:, None])
         gap = a[r] - b[c]
         dist = np.sqrt((gap * gap).sum(1))
