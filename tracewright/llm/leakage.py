@@ -125,6 +125,28 @@ def _units(tokens: list[bytes], kind) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return flat, first, _starts(first, UNIT)
 
 
+def _run_sums(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, most: int = 32) -> np.ndarray:
+    """Sums of ``rows[at]`` over the runs of ``at`` that start at ``begin``: the j-th entries of all runs are added at once.
+
+    A run of more than ``most`` entries is added up in stretches first.
+    """
+    size = np.diff(np.append(begin, len(at)))
+    if size.max(initial=0) > most:
+        parts = -(-size // most)
+        upto = np.cumsum(parts)
+        nth = np.arange(upto[-1]) - np.repeat(upto - parts, parts)
+        part = _run_sums(rows, at, np.repeat(begin, parts) + nth * most, most)
+        return _run_sums(part, np.arange(len(part)), upto - parts, most)
+    order = np.argsort(-size, kind="stable")  # longer runs first, so those with a j-th entry are in front
+    first, out = begin[order], rows[at[begin[order]]]
+    longer = len(size) - np.cumsum(np.bincount(size, minlength=1))
+    for j in range(1, len(longer) - 1):
+        out[:longer[j]] += rows[at[first[:longer[j]] + j]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def _sums(flat, first, units, table, size=UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row sums of ``table`` over the known words of each unit, and the known words with their units."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -134,7 +156,7 @@ def _sums(flat, first, units, table, size=UNIT) -> tuple[np.ndarray, np.ndarray,
     out = np.zeros((units[-1], table.shape[1]), np.float32)
     if len(word):
         begin = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-        out[unit[begin]] = np.add.reduceat(table[word], begin, axis=0)
+        out[unit[begin]] = _run_sums(table, word, begin)
     return out, word, unit
 
 
@@ -228,7 +250,7 @@ def _latent(tokens: DataFrame, items: Items, idf: np.ndarray, kind, rank: int) -
         word, unit = word[order], unit[order]
         if len(word):
             begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            total[word[begin]] += weight[word[begin]][:, None] * np.add.reduceat(back[unit], begin, axis=0)
+            total[word[begin]] += weight[word[begin]][:, None] * _run_sums(back, unit, begin)
         return int(units[-1])
 
     def run(batches):
