@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tracewright.llm import leakage
+from tracewright.llm import graph_search, leakage
 
 
 def test_sums_of_runs_equal_those_of_a_loop():
@@ -13,3 +13,32 @@ def test_sums_of_runs_equal_those_of_a_loop():
         begin = np.cumsum(sizes) - sizes
         want = np.stack([rows[at[b:b + n]].sum(axis=0) for b, n in zip(begin, sizes)])
         assert np.array_equal(leakage._run_sums(rows, at, begin), want)
+
+
+def test_a_round_fetches_vectors_in_proportion_to_their_number(spark):
+    rng = np.random.default_rng(5)
+    made = []
+    for n in (3000, 15000):
+        x = rng.normal(size=(n, 4)).astype(np.float32)
+        nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "node bigint, vec binary")
+        s = graph_search.Settings(block=512, cell=128, degree=8, trees=2)
+        place = graph_search._places(graph_search._cells(nodes, 4, n, s), n, s)
+        sizes = [r["count"] for r in place.groupBy("block").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 4 * s.block
+        made.append(len(sizes))
+    assert made[0] >= 4 and made[1] <= 2.5 * made[0]
+    big = graph_search.Settings()
+    assert [big.round_blocks(n) for n in (10_000, 50_000, 8_192_000)] == [8, 8, 1000]
+    assert [big.query_parts(n) for n in (1, 103, 513, 12_800)] == [1, 7, 8, 100]
+
+
+def test_binary_columns_are_read_where_they_lie():
+    import pyarrow as pa
+
+    x = np.arange(12, dtype=np.float32).reshape(4, 3)
+    column = pa.array([v.tobytes() for v in x], pa.binary())
+    for c in (column, pa.chunked_array([column.slice(0, 1), column.slice(1)])):
+        assert np.array_equal(graph_search._stack(c, np.float32, 3), x)
+    assert np.array_equal(graph_search._stack(column.slice(2), np.float32, 3), x[2:])
+    assert graph_search._stack(column.slice(4), np.float32, 3).shape == (0, 3)
+    assert len(graph_search._stack(pa.array([b""], pa.binary()), np.float32)) == 0

@@ -23,7 +23,8 @@ from tracewright.session import settle
 class Settings:
     """degree: neighbours kept per node; trees and cell: the start; rounds of NN-descent; reverse: pointing nodes that
     take part in a round; offers: best pairs a node takes from one comparison; beam: length of the search list; step:
-    nodes opened per query and hop; hops: most hops; block: nodes per task; queries: queries per task."""
+    nodes opened per query and hop; hops: most hops; block: nodes per task, and twice as many in a round of NN-descent at
+    most; queries: queries per task at most; spread: tasks of a round or a hop, as far as these sizes allow."""
     degree: int = 32
     trees: int = 4
     cell: int = 1024
@@ -35,6 +36,20 @@ class Settings:
     hops: int = 12
     block: int = 4096
     queries: int = 128
+    spread: int = 8
+
+    def round_blocks(self, n: int) -> int:
+        """Blocks of a round over ``n`` nodes.
+
+        Until a block is much smaller than n / (degree + reverse) it fetches most nodes, so blocks of one size would fetch rows
+        with the square of n, and a fixed number fetches in proportion. Where there must be more, a node is still
+        fetched by no more blocks than there are nodes in whose surroundings it stands, degree + reverse in the mean.
+        """
+        return max(self.spread, -(-n // (2 * self.block)))
+
+    def query_parts(self, starts: int) -> int:
+        """Tasks of a search; likewise, and a query opens a bounded number of nodes a hop."""
+        return max(1, min(self.spread, -(-starts // 16)), -(-starts // self.queries))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -48,8 +63,15 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _stack(column, kind, width=None) -> np.ndarray:
-    """Rows of a binary column as one array."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), kind)
+    """Rows of a binary column without nulls as one array, read where they lie."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.zeros(0, kind)
+    if len(column):
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+        flat = np.frombuffer(data or b"", np.uint8)[offsets[0]:offsets[-1]].view(kind)
     return flat if width is None else flat.reshape(-1, width)
 
 
@@ -97,7 +119,7 @@ def _split(x: np.ndarray, rows: np.ndarray, size: int, rng) -> list[np.ndarray]:
 
 
 def _cells(nodes: DataFrame, dim: int, n: int, s: Settings) -> DataFrame:
-    """(tree, node, block, ids, dists): exact neighbours inside the cells of each tree; block numbers come from tree 0.
+    """(tree, node, part, leaf, of, ids, dists): exact neighbours inside the cells of each tree; leaf of the leaves of a part.
 
     Each tree sorts the nodes by the signs of their projections on random
     directions; ranges of that order are cut further inside a task.
@@ -127,7 +149,8 @@ def _cells(nodes: DataFrame, dim: int, n: int, s: Settings) -> DataFrame:
         sq = (x * x).sum(axis=1)
         for t in np.unique(tree):
             rng = np.random.default_rng(int(t) + 31)
-            for leaf, rows in enumerate(_split(x, np.flatnonzero(tree == t), s.cell, rng)):
+            leaves = _split(x, np.flatnonzero(tree == t), s.cell, rng)
+            for leaf, rows in enumerate(leaves):
                 k = min(s.degree, len(rows) - 1)
                 ids, dists = np.zeros((len(rows), 0), np.int64), np.zeros((len(rows), 0), np.float32)
                 if k > 0:
@@ -135,16 +158,23 @@ def _cells(nodes: DataFrame, dim: int, n: int, s: Settings) -> DataFrame:
                     np.fill_diagonal(d, np.inf)
                     near = np.argpartition(d, k - 1, axis=1)[:, :k]
                     ids, dists = node[rows][near], np.take_along_axis(d, near, 1)
-                block = leaf * s.cell // s.block
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(rows), t, np.int32)), pa.array(node[rows]), pa.array(np.full(len(rows), block, np.int32)),
+                    pa.array(np.full(len(rows), t, np.int32)), pa.array(node[rows]), pa.array(np.full(len(rows), leaf, np.int32)), pa.array(np.full(len(rows), len(leaves), np.int32)),
                     pa.array([r.tobytes() for r in ids], pa.binary()), pa.array([r.astype(np.float32).tobytes() for r in dists], pa.binary())],
-                    ["tree", "node", "leaf", "ids", "dists"])
+                    ["tree", "node", "leaf", "of", "ids", "dists"])
 
     parts = max(1, -(-n * s.trees // (4 * s.block)))
     spread = nodes.mapInArrow(codes, "tree int, code int, node bigint, vec binary").repartitionByRange(parts, "tree", "code", "node")
-    out = spread.mapInArrow(inside, "tree int, node bigint, leaf int, ids binary, dists binary")
-    return settle(out.withColumn("block", F.spark_partition_id() * 64 + F.col("leaf")), "graph-cells")
+    out = spread.mapInArrow(inside, "tree int, node bigint, leaf int, of int, ids binary, dists binary")
+    return settle(out.withColumn("part", F.spark_partition_id()), "graph-cells")
+
+
+def _places(cells: DataFrame, n: int, s: Settings) -> DataFrame:
+    """(node, block): the order of tree 0 cut into blocks; its nodes fill a range of parts that are about equal."""
+    first = cells.where("tree = 0")
+    parts = (first.agg(F.max("part").alias("p")).first()["p"] or 0) + 1
+    place = (F.col("part") + F.col("leaf") / F.col("of")) * F.lit(s.round_blocks(n) / parts)
+    return settle(first.select("node", F.floor(place).cast("int").alias("block")), "graph-place")
 
 
 PACKED = "home int, nodes binary, ids binary, dists binary"
@@ -278,7 +308,7 @@ def build_graph(nodes: DataFrame, dim: int, s: Settings = Settings()) -> DataFra
     """(node, ids, dists): near neighbours of every node of ``nodes`` (node, vec: float32 bytes), nearest first."""
     n = nodes.count()
     cells = _cells(nodes, dim, n, s)
-    place = settle(cells.where("tree = 0").select("node", F.col("block").cast("int").alias("block")), "graph-place")
+    place = _places(cells, n, s)
     lists = _merge(cells, n, s.degree, s)
     for _ in range(s.rounds if n > s.cell else 0):
         lists = _descend(lists, place, nodes, n, dim, s)
@@ -294,7 +324,7 @@ def search(starts: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, s: S
     """
     n = nodes.count()
     ways = _around(graph, n, s.degree * 2, s)
-    parts = max(1, -(-starts.count() // s.queries))
+    parts = s.query_parts(starts.count())
     state = settle(starts.select("node").join(nodes, "node").select(
         F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), "node", "vec", F.lit(b"").alias("ids"), F.lit(b"").alias("dists"), F.lit(b"").alias("opened")), "graph-state")
 
