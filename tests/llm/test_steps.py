@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tracewright.llm import graph_search, leakage
+from tracewright.llm import graph_search, jaccard, leakage
 
 
 def test_sums_of_runs_equal_those_of_a_loop():
@@ -42,3 +42,16 @@ def test_binary_columns_are_read_where_they_lie():
     assert np.array_equal(graph_search._stack(column.slice(2), np.float32, 3), x[2:])
     assert graph_search._stack(column.slice(4), np.float32, 3).shape == (0, 3)
     assert len(graph_search._stack(pa.array([b""], pa.binary()), np.float32)) == 0
+
+
+def test_slab_keys_come_back_whole_and_take_six_bytes():
+    rng = np.random.default_rng(7)
+    rule = jaccard.Rule()
+    for n in (1, 2, 40, 700):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        keys, info = jaccard.slab_keys(s, rule, rule.edges(2000))
+        raw = jaccard.packed_keys(keys, info)
+        back, again = jaccard.unpacked_keys(raw)
+        assert np.array_equal(back, keys.view(np.int64)) and np.array_equal(again, info)
+        assert (back >= 0).all() and (back < 1 << 48).all() and len(raw) < 6 * len(keys) + 16 * len(keys) + 9
+    assert len(raw) < 7 * len(keys)

@@ -30,6 +30,8 @@ HUBS = 16
 LEAF = 32
 # Sets on one slab whose pairs are counted; a slab with more is common and stands back for the others.
 COMMON = 16
+# Bits of a slab's key, whole bytes.
+KEY = 48
 _SHIFT = 24
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _CLASS = np.uint64(0xA0761D6478BD642F)
@@ -91,7 +93,8 @@ def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray,
     Beside each key stands its class and the set's slack, m less the empty slabs.
     Linked sets agree on more than m slabs. A set with slack 0 or more leaves
     its empty slabs out: some other slab agrees, as one that agrees is empty on
-    both sides. A set without gives all its slabs.
+    both sides. A set without gives all its slabs. Keys are cut to KEY bits, which make the rows sent and kept smaller; two
+    slabs that share a key by chance bring a pair to the check more, never one less.
     """
     n, keys, info = len(s), [], []
     k = int(np.searchsorted(edges, n, side="right")) - 1
@@ -113,7 +116,24 @@ def slab_keys(s: np.ndarray, rule: Rule, edges: list[int]) -> tuple[np.ndarray,
         keys.append(own)
         info.append(np.full(len(own), (k << _SHIFT) + max(slack, -1) + 1, np.int64))
         k -= 1
-    return np.concatenate(keys), np.concatenate(info)
+    return np.concatenate(keys) >> np.uint64(64 - KEY), np.concatenate(info)
+
+
+def packed_keys(keys: np.ndarray, info: np.ndarray) -> bytes:
+    """KEY bits of each key, then runs of equal info (info, length), then the number of runs."""
+    begin = np.flatnonzero(np.concatenate(([True], info[1:] != info[:-1])))
+    runs = np.stack([info[begin], np.diff(np.append(begin, len(info)))])
+    return keys.view(np.uint8).reshape(-1, 8)[:, :KEY // 8].tobytes() + runs.tobytes() + np.int64(len(begin)).tobytes()
+
+
+def unpacked_keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and info from ``packed_keys``."""
+    n = int.from_bytes(raw[-8:], "little")
+    runs = np.frombuffer(raw[-8 - 16 * n:-8], np.int64).reshape(2, n)
+    info = np.repeat(runs[0], runs[1])
+    wide = np.zeros((len(info), 8), np.uint8)
+    wide[:, :KEY // 8] = np.frombuffer(raw, np.uint8, len(info) * (KEY // 8)).reshape(-1, KEY // 8)
+    return wide.view(np.int64).ravel(), info
 
 
 def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -131,7 +151,7 @@ def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
                     edges = rule.edges(2 * most)
                 sums = [(int(s.sum()), int(mix(s + _STEP).sum())) if len(s) else (0, 0) for s in sets]
                 marks = mix(np.array(sums, np.uint64)).view(np.int64)
-                keys = [b"".join(x.tobytes() for x in slab_keys(s, rule, edges)) if len(s) else b"" for s in sets]
+                keys = [packed_keys(*slab_keys(s, rule, edges)) if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]),
                                                   pa.array(marks[:, 1]), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
@@ -207,9 +227,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            keys = [np.frombuffer(k, np.int64).reshape(2, -1) for k in batch.column("keys").to_pylist()]
-            both = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
-            at = pa.array(np.repeat(np.arange(len(keys)), [k.shape[1] for k in keys]))
+            keys = [unpacked_keys(k) for k in batch.column("keys").to_pylist()]
+            both = [np.concatenate(x) for x in zip(*keys)] if keys else np.zeros((2, 0), np.int64)
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k, _ in keys]))
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), batch.column("node").take(at), pa.array(both[1])], ["key", "node", "info"])
 
     def stars(batches):
