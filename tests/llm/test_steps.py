@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tracewright.llm import graph_search, jaccard, leakage
+from tracewright.llm import graph_search, jaccard, language_model, leakage
 
 
 def test_sums_of_runs_equal_those_of_a_loop():
@@ -55,3 +55,29 @@ def test_slab_keys_come_back_whole_and_take_six_bytes():
         assert np.array_equal(back, keys.view(np.int64)) and np.array_equal(again, info)
         assert (back >= 0).all() and (back < 1 << 48).all() and len(raw) < 6 * len(keys) + 16 * len(keys) + 9
     assert len(raw) < 7 * len(keys)
+
+
+def test_remembered_words_give_the_ids_of_fresh_ones(monkeypatch):
+    monkeypatch.setattr(language_model, "REMEMBERED", 60)
+    rng, memory, asked = np.random.default_rng(9), language_model.Memory(), 0
+    lists = {h: rng.integers(0, 99, h % 4).tolist() for h in range(200)}
+    for top in (40, 40, 60, 200, 50):
+        hashes = np.unique(rng.integers(0, top, 45)).astype(np.uint64)
+
+        def encode(new):
+            nonlocal asked
+            asked += len(new)
+            some = [lists[int(h)] for h in hashes[new]]
+            return np.array([x for one in some for x in one], np.int64), np.array([len(x) for x in some], np.int64)
+
+        before = asked
+        flat, count = memory.look_up(hashes, encode)
+        assert flat.tolist() == [x for h in hashes.tolist() for x in lists[h]] and count.tolist() == [len(lists[h]) for h in hashes.tolist()]
+        assert len(memory.hashes) <= 60 + len(hashes) and (np.diff(memory.hashes.astype(np.int64)) > 0).all()
+        if top == 40 and before:
+            assert asked - before < len(hashes)
+    rows = rng.integers(0, 5, 30)
+    values = rng.integers(-4, 4, (30, 3)).astype(np.float32)
+    want = np.zeros((6, 3), np.float32)
+    np.add.at(want, rows, values)
+    assert np.array_equal(language_model.row_sums(rows, values, 6), want)
