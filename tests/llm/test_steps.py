@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tracewright.llm import graph_search, jaccard, language_model, leakage
+from tracewright.llm import graph_search, jaccard, language_model, leakage, packing
 
 
 def test_sums_of_runs_equal_those_of_a_loop():
@@ -81,3 +81,19 @@ def test_remembered_words_give_the_ids_of_fresh_ones(monkeypatch):
     want = np.zeros((6, 3), np.float32)
     np.add.at(want, rows, values)
     assert np.array_equal(language_model.row_sums(rows, values, 6), want)
+
+
+def test_chunks_of_both_sorts_are_looked_up_in_place(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KNOWN", 6)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    want = lambda c: np.array(encoder.tokenizer.encode(c.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+    chunks = [" über".encode(), b"plain", b" word", " né".encode(), b"'s", b" ", b"x1", "\u00a0y".encode(), b" end."]
+    for some in (chunks, chunks[::-1], chunks[2:5], [b" ", "ß".encode()], [], chunks):
+        assert encoder.look_up(some) == [want(c) for c in some]
+    assert encoder.encode([b"a"]) == [want(b"a")] and encoder.encode(["é".encode()]) == [want("é".encode())]
+    asked = []
+    monkeypatch.setattr(encoder, "encode", lambda new: asked.append(new) or [want(c) for c in new])
+    assert encoder.look_up([b" end.", b"fresh"]) == [want(b" end."), want(b"fresh")] and asked == [[b"fresh"]]

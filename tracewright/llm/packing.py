@@ -77,38 +77,45 @@ class Encoder:
         There, a line end is put before chunks that don't begin with white
         space; it is a piece, and a token, of its own.
         """
-        out: dict[int, bytes] = {}
+        out: list[bytes] = []
         for a in range(0, len(chunks), 1 << 14):
-            some = range(a, min(a + (1 << 14), len(chunks)))
-            plain = [i for i in some if 0x20 < chunks[i][-1] < 0x7F and _FIRST[chunks[i][0]]]
-            lead = np.array([chunks[i][0] not in b" \t\n\r\x0b\x0c" for i in plain], bool)
-            stop = np.cumsum(np.array([len(chunks[i]) for i in plain], np.int64) + lead)
-            text = b"".join([b"\n" + chunks[i] if n else chunks[i] for i, n in zip(plain, lead)]).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.searchsorted(np.cumsum(self.bytes[ids]), stop) + 1
-            raw = ids.tobytes()
-            first = np.concatenate([[0], last[:-1]]) + lead if len(plain) else last
-            out.update((i, raw[4 * x:4 * y]) for i, x, y in zip(plain, first.tolist(), last.tolist()))
-            odd = [i for i in some if i not in out]
-            for i, e in zip(odd, self.tokenizer.encode_batch_fast([chunks[i].decode() for i in odd], add_special_tokens=False)):
-                out[i] = array("I", e.ids).tobytes()
-        return [out[i] for i in range(len(chunks))]
+            some = chunks[a:a + (1 << 14)]
+            joined = np.frombuffer(b"".join(some), np.uint8)
+            size = np.fromiter(map(len, some), np.int64, len(some))
+            upto = np.cumsum(size)
+            head, tail = joined[upto - size], joined[upto - 1]
+            plain = (tail > 0x20) & (tail < 0x7F) & _FIRST[head]
+            found = self._plain(joined[np.repeat(plain, size)], size[plain], ~IS_SPACE[head[plain]])
+            odd = self.tokenizer.encode_batch_fast([some[i].decode() for i in np.flatnonzero(~plain).tolist()], add_special_tokens=False)
+            one, other = iter(found), iter(odd)
+            out += [next(one) if p else array("I", next(other).ids).tobytes() for p in plain.tolist()]
+        return out
+
+    def _plain(self, data: np.ndarray, size: np.ndarray, lead: np.ndarray) -> list[bytes]:
+        """The ids of joined chunks; where ``lead`` holds, a line end goes before the chunk."""
+        upto = np.cumsum(size)
+        text = np.insert(data, (upto - size)[lead], 0x0A).tobytes().decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.searchsorted(np.cumsum(self.bytes[ids]), upto + np.cumsum(lead)) + 1
+        first = np.concatenate([[0], last[:-1]]) + lead if len(size) else last
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip((4 * first).tolist(), (4 * last).tolist())]
 
     def look_up(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each chunk, 32 bits each."""
         if len(self.known) > KNOWN:
             self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        new = []
-        for c in chunks:
-            if c not in known:
-                if c in before:
-                    known[c] = before[c]
-                else:
-                    new.append(c)
-        for c, e in zip(new, self.encode(new)):
-            known[c] = e
-        return [known[c] for c in chunks]
+        known = self.known
+        out = list(map(known.get, chunks))
+        missing = [i for i, e in enumerate(out) if e is None]
+        old = list(map(self.before.get, [chunks[i] for i in missing]))
+        new = [i for i, e in zip(missing, old) if e is None]
+        for places, found in ((missing, old), (new, self.encode([chunks[i] for i in new]))):
+            for i, e in zip(places, found):
+                out[i] = e
+                if e is not None:
+                    known[chunks[i]] = e
+        return out
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by ``end``, and the n + 1 offsets of the texts."""
@@ -118,14 +125,16 @@ class Encoder:
         starts = chunk_starts(data, offsets)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(chunks)
-        which, parts = coded.indices.to_numpy(), self.look_up(coded.dictionary.to_pylist())
+        which, parts = coded.indices.to_numpy(), self.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, begin = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(sizes) - sizes
         n = sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        found = flat[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
         edges = upto[np.searchsorted(starts, offsets)]
-        return np.insert(found, edges[1:], np.uint32(end)), edges + np.arange(len(edges))
+        kind = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
+        at = np.repeat((begin[which] - upto[:-1]).astype(kind), n)
+        at += np.arange(upto[-1], dtype=kind)
+        return np.insert(flat[at], edges[1:], np.uint32(end)), edges + np.arange(len(edges))
 
 
 _ENCODER: list = []
