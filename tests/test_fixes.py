@@ -143,3 +143,32 @@ def test_the_reach_of_long_rows_keeps_all_neighbours():
         a, b = np.stack(x["vec"]), np.stack(y["vec"])
         want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
         assert all(np.array_equal(ids, y["id"].to_numpy()[np.argsort(w, kind="stable")[:4]]) for ids, w in zip(got["ids"], want))
+
+
+@pytest.mark.parametrize("shift", [0.0, 50.0])  # cells rule out nothing, or most
+def test_rows_against_themselves_send_half_the_copies(spark, monkeypatch, shift):
+    import numpy as np
+
+    from tracewright.operators import blocks as bk
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 12)) + shift * rng.integers(0, 3, 400)[:, None]
+    x[300:330] = x[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id bigint, vec array<double>")
+    monkeypatch.setattr(bk, "WIDE", 2)
+    monkeypatch.setattr(bk, "LEAST_PAIRS", 1)
+    got = {(r["query_id"], r["rank"]): r["neighbor_id"] for r in nearest(rows, rows, 3, block_rows=20, local_bytes=0).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(400), d.shape), np.round(d, 9)), axis=1)[:, :3]
+    assert got == {(i, r + 1): int(want[i, r]) for i in range(400) for r in range(3)}
+    seen = spark.sparkContext.accumulator(0)
+
+    def fn(a, b):
+        seen.add(len(a) * len(b))
+        return a[["grp", "id"]].assign(n=len(b))
+
+    side = rows.selectExpr("0 AS grp", "row_id AS id", "vec")
+    plain, both = (bk.pair_blocks(side, side, fn, "grp int, id bigint, n bigint", block_rows=20, local_bytes=0, twin=t) for t in (False, True))
+    tops = [r.groupBy("id").agg(F.sum("n").alias("n")).where("n <> 400").count() for r in (plain, both)]
+    assert tops == [0, 0] and seen.value == 2 * 400 * 400

@@ -114,16 +114,26 @@ def block_count(n: int, block_rows: int, wide: int, least: int) -> int:
     return max(-(-n // (wide * block_rows)), min(-(-n // block_rows), least))
 
 
+def _pairs_left(n_left: dict, n_right: dict) -> float:
+    """Share of the pairs of a group's rows that cells don't rule out; both sides are the same rows."""
+    rows: dict = {}
+    for (grp, _), n in n_left.items():
+        rows[grp] = rows.get(grp, 0) + n
+    return sum(n * n_right.get(key, 0) for key, n in n_left.items()) / max(1, sum(n * n for n in rows.values()))
+
+
 def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, reach: Callable | float = math.inf,
                 pivots: np.ndarray | None = None, block_rows: int = BLOCK_ROWS,
-                local_bytes: int = LOCAL_BYTES, fold: Callable | None = None) -> DataFrame:
+                local_bytes: int = LOCAL_BYTES, fold: Callable | None = None, twin: bool = False) -> DataFrame:
     """Run ``fn(left_pdf, right_pdf)`` on every pair of blocks that can hold a pair within reach.
 
     Both sides carry ``grp``, ``id``, ``vec`` and any further columns; only rows
     of one group meet. ``reach`` is a distance, or a function of the cell radii
     that gives one per (grp, cell). ``fn`` gets some rows of a left block and all
     of a right one, about ``block_rows`` squared pairs at once. With ``fold`` it
-    gets ``block_rows`` rows of each, and ``fold`` makes the results of one pair of blocks smaller.
+    gets ``block_rows`` rows of each, and ``fold`` makes the results of one pair of blocks smaller. With ``twin`` both sides
+    are the same rows with the same columns; where there are no cells, two blocks then meet in one task for both directions, so
+    about half as many copies of a row are sent.
     """
     spark = left.sparkSession
     out_names = [f.split()[0] for f in schema.split(",")]
@@ -143,6 +153,8 @@ def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, re
         n_left = {key: n for key, (n, _) in radii.items()}
         n_right = {(r["grp"], r["cell"]): r["n"]
                    for r in counted.groupBy("grp", "cell").agg(F.sum("n").alias("n")).collect()}
+        if twin and _pairs_left(n_left, n_right) > 0.5:  # cells that rule out little only add copies
+            return pair_blocks(left.drop("cell", "own"), right, fn, schema, reach, None, block_rows, local_bytes, fold, twin)
         right_schema = T.StructType(right.schema.fields + [T.StructField("cell", T.IntegerType())])
         sent = right.mapInPandas(_send(pivots, radii, limits, False), right_schema)
         left = left.drop("own")
@@ -158,23 +170,29 @@ def pair_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, re
 
     def spread(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         placed = side.join(plan_df, ["grp", "cell"]).withColumn(own, F.pmod(slot, F.col(own_n)))
-        placed = (placed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
+        first = F.col("bl") if twin and own == "bl" else F.lit(0).cast("bigint")
+        last = F.col("br") if twin and own == "br" else F.col(other_n) - 1
+        placed = (placed.withColumn(other, F.explode(F.sequence(first, last)))
                   .drop("lb", "rb"))
         # Fresh column identities: both sides may come from one table.
         return placed.select(*[F.col(c).alias(c) for c in placed.columns])
 
+    twin = twin and (pivots is None or len(pivots) <= 1)
     keys = ["grp", "cell", "bl", "br"]
     a = spread(left, "bl", "lb", "br", "rb").groupBy(*keys)
     b = spread(sent, "br", "rb", "bl", "lb").groupBy(*keys)
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame(columns=out_names)
+    def sweep(x: pd.DataFrame, y: pd.DataFrame) -> list:
         across = block_rows if fold else len(y)
         step = max(1, block_rows * block_rows // across)
         # A part of the right block stays one object, so fn can keep what it made of it.
         others = [y.iloc[j:j + across] for j in range(0, len(y), across)]
-        parts = [fn(x.iloc[i:i + step], other) for i in range(0, len(x), step) for other in others]
+        return [fn(x.iloc[i:i + step], other) for i in range(0, len(x), step) for other in others]
+
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=out_names)
+        parts = sweep(x, y) + (sweep(y, x) if twin and key[2] != key[3] else [])
         out = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
         return fold(out) if fold else out
 

@@ -129,8 +129,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, row_id: str = "row_id",
     reach = _reach_of_cells(right, pivots, keep) if pivots is not None and len(pivots) > 1 else float("inf")
     grp_type = right.schema["grp"].dataType.simpleString()
     schema = f"grp {grp_type}, id bigint, dists array<double>, ids array<bigint>"
-    parts = bk.pair_blocks(left.select("grp", "id", "vec"), right.drop("copies"), _top_of_block(keep), schema, reach, pivots,
-                           block_rows, local_bytes)
+    sent = right.drop("copies")
+    parts = bk.pair_blocks(sent if same else left.select("grp", "id", "vec"), sent, _top_of_block(keep), schema, reach, pivots,
+                           block_rows, local_bytes, twin=same)
     flat = parts.select("grp", "id", F.inline(F.arrays_zip(F.col("dists").alias("distance"),
                                                            F.col("ids").alias("neighbor_id"))))
     order = W.partitionBy("grp", "id").orderBy("distance", "neighbor_id")
