@@ -97,3 +97,54 @@ def test_chunks_of_both_sorts_are_looked_up_in_place(monkeypatch):
     asked = []
     monkeypatch.setattr(encoder, "encode", lambda new: asked.append(new) or [want(c) for c in new])
     assert encoder.look_up([b" end.", b"fresh"]) == [want(b" end."), want(b"fresh")] and asked == [[b"fresh"]]
+
+
+def test_the_class_layer_trains_and_scores_as_written_out(monkeypatch):
+    # The steps in pieces, the sums without the largest taken off first, and the same where numbers leave the range of floats.
+    rng = np.random.default_rng(4)
+    docs, end = [rng.integers(0, 60, n) for n in (0, 3, 40, 700, 5000)], 60
+    counts = np.bincount(np.concatenate(docs), minlength=61)
+    flat, offsets = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    inputs, targets, _ = language_model.stream(flat, offsets, end)
+
+    def trained(scale):
+        net = language_model.new_network(counts, np.arange(61) % language_model.CLASSES, np.random.default_rng(2))
+        net.out *= scale
+        language_model.fit(net, flat, offsets, end, 2, np.random.default_rng(3), 0.004)
+        return net
+
+    net = trained(np.float32(1))
+    whole = net.log_probability(inputs, targets, net.tables())
+    assert np.allclose(whole, net.log_probability(inputs, targets, net.tables(), block=3), atol=1e-4)
+    monkeypatch.setattr(language_model, "_in_range", lambda total: False)
+    careful = trained(np.float32(1))
+    for name in net.PARAMETERS:
+        assert np.allclose(getattr(net, name), getattr(careful, name), atol=2e-3)
+    assert np.allclose(whole, net.log_probability(inputs, targets, net.tables()), atol=1e-4)
+    monkeypatch.undo()
+    wild = trained(np.float32(400))  # exponents in the hundreds
+    assert all(np.isfinite(getattr(wild, name)).all() for name in net.PARAMETERS)
+    score = wild.log_probability(inputs, targets, wild.tables())
+    assert np.isfinite(score).all() and (score[targets < 0] == 0).all()
+
+
+def test_different_numbers_come_as_from_unique():
+    numbers = np.random.default_rng(6).integers(0, 2 ** 64, 50, dtype=np.uint64)[np.random.default_rng(7).integers(0, 50, 400)]
+    for some in (numbers, numbers.view(np.int64), numbers[:0]):
+        want = np.unique(some, return_index=True, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(language_model.different(some), want))
+
+
+def test_a_step_of_training_holds_only_a_piece_of_the_class_layer():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 60, 4000)]
+    net = language_model.new_network(np.bincount(docs[0], minlength=61), np.arange(61), np.random.default_rng(2))
+    made = language_model.class_powers(np.ones((8, 3), np.float32), np.ones((3, language_model.CLASSES), np.float32), place := np.empty((16, language_model.CLASSES), np.float32), False)
+    assert np.shares_memory(made, place) and np.allclose(made, np.exp(3))
+    tracemalloc.start()
+    net.log_probability(*language_model.stream(docs[0], np.array([0, 4000]), 60)[:2], net.tables())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 128 * language_model.HALF * language_model.CLASSES * 4
