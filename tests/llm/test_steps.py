@@ -1,6 +1,7 @@
 """Inner steps of the operators on training text, against plain loops."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracewright.llm import graph_search, jaccard, language_model, leakage, packing
 
@@ -148,3 +149,29 @@ def test_a_step_of_training_holds_only_a_piece_of_the_class_layer():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3 * 128 * language_model.HALF * language_model.CLASSES * 4
+
+
+def test_ids_to_pack_travel_as_bytes(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    texts = {1: "Some words, and some words again.", 2: None, 3: "", 4: "über x1  y " * 30}
+    rows = packing.tokenise(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(2), definition, ["doc_id"])
+    assert rows.schema["__ids"].dataType.simpleString() == "binary"  # arrays of numbers are copied one by one
+    plain = packing.Encoder(definition).tokenizer
+    # Ids take two bytes unless one, here that of the end, doesn't fit.
+    wide = packing.tokenise(rows.select("doc_id").withColumn("text", F.lit("a b")), definition, ["doc_id"], end=70_000)
+    assert all(np.frombuffer(r["__ids"], "<u4")[-1] == 70_000 and len(r["__ids"]) == 4 * r["__n"] for r in wide.collect())
+    docs = rows.select("doc_id").withColumn("text", F.lit("a b"))
+    ends = packing.pack(docs, definition, end=70_000).collect()
+    assert sum(list(np.frombuffer(r["ids"], "<u4")).count(70_000) for r in ends) == 4 and all(len(r["ids"]) == 4 * r["length"] for r in ends)
+    for r in rows.collect():
+        ids = np.frombuffer(r["__ids"], "<u2")
+        assert ids.tolist() == [*plain.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, packing.END] and r["__n"] == len(ids)
+    values = [b"abc", b"", b"defg", b"h"]
+    for column in (pa.array(values), pa.array(values)[1:], pa.array(values, pa.large_binary())[2:3], pa.array(values)[:0]):
+        raw, begin = packing.binary_bytes(column)
+        assert [raw[a:a + len(x)].tobytes() for a, x in zip(begin.tolist(), column.to_pylist())] == column.to_pylist() and len(begin) == len(column) + 1
+    assert packing.binary(np.frombuffer(b"abcdefgh", np.uint8), np.array([0, 3, 3, 8])).to_pylist() == [b"abc", b"", b"defgh"]

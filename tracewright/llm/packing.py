@@ -16,7 +16,7 @@ LENGTH = 2048
 END = 1
 SLICE = 2 << 20
 # Chunks of text whose ids a worker remembers, twice: those used of late, and the ones before.
-KNOWN = 100_000
+KNOWN = 250_000
 # So many partitions have their offsets added up in one group.
 PARTS = 1024
 
@@ -67,6 +67,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        # Ids are kept in two bytes where they fit.
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -147,8 +149,26 @@ def encoder_of(definition: str) -> Encoder:
     return _ENCODER[1]
 
 
+def binary(data: np.ndarray, offsets: np.ndarray):
+    """An Arrow binary column of stretches of ``data``, given by n + 1 places in bytes; nothing is copied."""
+    import pyarrow as pa
+
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def binary_bytes(column) -> tuple[memoryview, np.ndarray]:
+    """The bytes of an Arrow binary column, and the n + 1 places of its values there."""
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    places = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), places
+
+
 def tokenise(docs: DataFrame, definition: str, keep: list[str], end: int = END) -> DataFrame:
-    """The columns ``keep`` with ids (those of the text, then ``end``), their number, and place: partition and ids before in it."""
+    """The columns ``keep`` with ids (those of the text, then ``end``; 16 or 32 bits each, little-endian, in one binary value, which
+    Spark passes on as it is), their number, and place: partition and ids before in it."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.shiftright(F.monotonically_increasing_id(), 33).cast("int").alias("__part"),
                        F.col("text").cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -162,12 +182,13 @@ def tokenise(docs: DataFrame, definition: str, keep: list[str], end: int = END)
             encoder = encoder or encoder_of(shared.value)
             for part in slices(batch, SLICE, "__text"):
                 ids, edges = encoder.ids(*text_arrays(part.column(part.num_columns - 1)), end)
+                kind = encoder.kind if end < 1 << 16 else np.dtype("<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(before + edges[:-1]), pa.array(np.diff(edges)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.view(np.int32)))],
+                    [*part.columns[:-1], pa.array(before + edges[:-1]), pa.array(np.diff(edges)), binary(ids.astype(kind, copy=False), kind.itemsize * edges)],
                     [*part.schema.names[:-1], "__before", "__n", "__ids"])
                 before += int(edges[-1])
 
-    found = settle(rows.mapInArrow(run, f"{fields}, __before bigint, __n bigint, __ids array<int>"), "packing-ids")
+    found = settle(rows.mapInArrow(run, f"{fields}, __before bigint, __n bigint, __ids binary"), "packing-ids")
     shared.destroy()
     return found
 
@@ -214,9 +235,10 @@ def pack(docs: DataFrame, definition: str, keep: list[str] | None = None, length
             sequence = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[row] // length
             begin = np.maximum(first[row], sequence * length)
             stop = np.minimum((first + n)[row], (sequence + 1) * length)
-            ids = batch.column(own + 2).flatten().to_numpy().astype("<i4", copy=False)
+            data, offsets = binary_bytes(batch.column(own + 2))
+            size = int(offsets[-1] - offsets[0]) // max(int(n.sum()), 1)  # bytes of an id
+            raw = memoryview(np.frombuffer(data, f"<u{size or 4}", int(n.sum()), int(offsets[0])).astype("<u4", copy=False)).cast("B")
             upto = (np.cumsum(n) - n)[row] + begin - first[row]
-            raw = memoryview(ids).cast("B")
             values = n[row], begin - first[row], stop - begin, sequence, begin % length
             for a in range(0, len(row), 4096):  # the ids of a batch leave in bounded batches
                 b = min(a + 4096, len(row))
