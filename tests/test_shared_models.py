@@ -316,3 +316,35 @@ def test_masked_odd_tables(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "row_id bigint, vec array<double>")
     got = mk.score(rows, "vec", mk.fit(rows, "vec", 3)).collect()
     assert len(got) == 60 and all(r["score"] is not None and np.isfinite(r["score"]) for r in got)
+
+
+def test_silhouettes_from_labels_need_no_copies_of_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5)) + 3 * rng.integers(0, 3, 300)[:, None]
+    a, b, alone = rng.integers(0, 4, 300), rng.integers(-2, 1, 300) * 10**10, np.zeros(300, int)
+    b[7] = 5  # a row alone in its cluster
+    rows = [(i, x[i].tolist(), int(a[i]), None if i % 50 == 3 else int(b[i]), int(alone[i]), None) for i in range(300)] + [(300, None, 1, 1, 0, None)]
+    df = spark.createDataFrame(rows, "row_id int, vec array<double>, a int, b bigint, alone int, nothing int")
+
+    def brute(keep, label):
+        x2, label = x[keep], label[keep]
+        d = ((x2[:, None] - x2[None]) ** 2).sum(2)
+        score = []
+        for i, own in enumerate(label):
+            mine = label == own
+            if mine.sum() == 1 or mine.all():
+                score.append(0.0)
+                continue
+            near = d[i][mine].sum() / (mine.sum() - 1)
+            far = min(d[i][label == c].mean() for c in set(label.tolist()) - {own})
+            score.append((far - near) / max(far, near))
+        return np.mean(score)
+
+    every = np.ones(300, bool)
+    want = {"a": brute(every, a), "b": brute(np.arange(300) % 50 != 3, b), "alone": 0.0}
+    for parts in (1, 7):
+        out = ss.labelled_silhouettes(df.repartition(parts), "vec", ["a", "b", "alone", "nothing"])
+        got = {r["labels"]: r["silhouette"] for r in out.collect()}
+        assert set(got) == set(want) and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # what a row is compared with comes to it in the task
