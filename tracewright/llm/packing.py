@@ -16,7 +16,7 @@ LENGTH = 2048
 END = 1
 SLICE = 2 << 20
 # Chunks of text whose ids a worker remembers, twice: those used of late, and the ones before.
-KNOWN = 250_000
+KNOWN = 100_000
 # So many partitions have their offsets added up in one group.
 PARTS = 1024
 
