@@ -99,6 +99,24 @@ def test_dbscan(spark, layout):
         assert filled[i] == want[int(d.argmin())]
 
 
+@pytest.mark.parametrize("sample_rows", [3, 40])
+def test_dbscan_after_a_sample(spark, sample_rows):
+    x = points_with_copies(180, 2)
+    layout = {"local_bytes": 0, "block_rows": 9, "sample_rows": sample_rows}
+    for eps, m in ((0.3, 5), (0.15, 3), (0.05, 2)):  # with border rows, noise and many small clusters
+        got = {r.row_id: r.cluster for r in cl.dbscan(frame(spark, x), "vec", eps, m, fill_noise=False, **layout).collect()}
+        assert [got[i] for i in range(len(x))] == brute_dbscan(x, eps, m).tolist()
+
+
+def test_dbscan_of_dense_rows_compares_few_of_them_with_all(spark, monkeypatch):
+    x = np.concatenate([np.random.default_rng(7).normal(size=(300, 2)), [[9.0, 9.0], [9.1, 9.0], [5.0, 5.0]]])
+    met, pair_blocks = [], cl.bk.pair_blocks
+    monkeypatch.setattr(cl.bk, "pair_blocks", lambda left, right, *a, **kw: met.append(left.count()) or pair_blocks(left, right, *a, **kw))
+    got = {r.row_id: r.cluster for r in cl.dbscan(frame(spark, x), "vec", 1.5, 3, fill_noise=False, local_bytes=0, block_rows=16, sample_rows=60).collect()}
+    assert [got[i] for i in range(len(x))] == brute_dbscan(x, 1.5, 3).tolist()
+    assert met and max(met) < 0.2 * len(x)  # all rows before
+
+
 def test_dbscan_all_noise(spark):
     df = frame(spark, np.arange(12).reshape(6, 2) * 10.0)
     assert {r.cluster for r in cl.dbscan(df, "vec", 0.5, 5).collect()} == {-1}
