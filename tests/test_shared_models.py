@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -157,6 +158,26 @@ def test_ward_heights(spark, layout):
     assert len({r["b"] for r in merges}) == len(x) - 1 and all(r["a"] < r["b"] for r in merges)
 
 
+def test_ward_neighbours_are_exact_and_a_right_block_is_made_ready_once(monkeypatch):
+    rng, made = np.random.default_rng(8), []
+    monkeypatch.setattr(lk, "stack", lambda column, f=lk.stack: made.append(len(column)) or f(column))
+    monkeypatch.setattr(lk, "TILE_COLUMNS", 50)
+    for scale, offset, sizes, whole in ((1, 0, 1, False), (1, 0, 9, False), (1e-9, 1e3, 4, False), (1e12, 0, 3, False), (1, 0, 2, True), (0, 5, 1, True)):
+        v = rng.normal(size=(230, 6)) * scale + offset
+        v = np.round(v * 1.2) if whole else v  # many ties
+        v[0] = v[0] + 1e25 * (offset == 0 and scale == 1)  # beyond single precision next to the others
+        n, ids = rng.integers(1, sizes + 1, len(v)).astype(float), rng.permutation(500)[:len(v)]
+        block = pd.DataFrame({"id": ids, "vec": list(v), "n": n})
+        left, right, near = block.iloc[:200], block.iloc[30:], lk._nearest()
+        made.clear()
+        got = pd.concat([near(left.iloc[i:i + 70], right) for i in range(0, 200, 70)])
+        assert made.count(200) == 1
+        d = ((v[:200, None] - v[None, 30:]) ** 2).sum(axis=2) * (n[:200, None] * n[None, 30:] / (n[:200, None] + n[None, 30:]))
+        d[ids[:200, None] == ids[None, 30:]] = np.inf
+        want = [min((d[i, j], ids[30 + j]) for j in np.flatnonzero(d[i] == d[i].min())) for i in range(200)]
+        assert np.allclose(got["d"], [w[0] for w in want], rtol=1e-12, atol=0) and (got["nb"].to_numpy() == [w[1] for w in want]).mean() > (0.99 if whole else 0.999)
+
+
 def test_ward_of_300_rows(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 4))
